@@ -57,7 +57,7 @@ def dedup_lines(documents: DataFrame, size: int = 3) -> DataFrame:
     they pass unchanged (n_lines null for a null text). Rows that repeat a
     doc_id share its places, so a repeated row isn't later than itself.
     """
-    kept = documents.drop("n_lines", "n_removed", "removed")
+    kept = documents.drop("n_lines", "n_removed")  # columns of these names are replaced
     found = repeated_lines(documents.select("doc_id", "text"), size)
     joined = kept.join(found.withColumnRenamed("removed", "_removed"), "doc_id", "left")
     hit = F.col("_removed").isNotNull()
