@@ -455,7 +455,7 @@ class Engine:
         old = self.store.rows(name)
         met = old.alias("t").join(df.alias("excluded"), [F.col(f"t.`{k}`") == F.col(f"excluded.`{k}`") for k in keys])
         types = self._types(t)
-        changes = {c: self._value(e, params, {"t": types, "excluded": types}).cast(SQL_TYPE[types[c]]) for c, e in sets}
+        changes = {c: self._value(_renamed(e, name, "t"), params, {"t": types, "excluded": types}).cast(SQL_TYPE[types[c]]) for c, e in sets}
         updated = self._fixed(met.select(F.col(f"t.{ROWID}").alias(ROWID), *(changes.get(c, F.col(f"t.`{c}`")).alias(c) for c in t.names())))
         added = self._fixed(df.join(old.select(*keys), keys, "left_anti").select(ROWID, *t.names()))
         kept = old.join(updated.select(ROWID), ROWID, "left_anti")
@@ -626,6 +626,15 @@ class Engine:
                 yield f"CREATE VIEW {name(n)} AS {sql};"
 
 
+def _renamed(node, old: str, new: str):
+    """Syntax with columns of the table ``old`` named by the alias ``new``."""
+    if isinstance(node, tuple) and node[:1] == ("col",) and node[1] and node[1].lower() == old.lower():
+        return ("col", new, node[2])
+    if isinstance(node, (tuple, list)):
+        return type(node)(_renamed(x, old, new) for x in node)
+    return node
+
+
 class Views(Translator):
     """A translator whose tables stand for temporary views."""
 

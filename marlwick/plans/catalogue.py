@@ -76,7 +76,7 @@ def a12(spark, sf_dir):
 # ---- B: projection, filters, expressions -------------------------------------------------------
 dialect("b1_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 dialect("b2_projection", "SELECT n_name, n_regionkey FROM nation")
-dialect("b3_expressions", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem WHERE l_partkey < 50")
+dialect("b3_expressions", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
 dialect("b4_star", "SELECT * FROM supplier")
 dialect("b5_comparisons", "SELECT p_partkey, p_size = 10 AS e, p_size <> 10 AS ne, p_size < 10 AS l, p_size >= p_partkey AS g, p_retailprice > 1000 AS r FROM part",
         "SELECT p_partkey, (p_size = 10)::BIGINT AS e, (p_size <> 10)::BIGINT AS ne, (p_size < 10)::BIGINT AS l, (p_size >= p_partkey)::BIGINT AS g, (p_retailprice > 1000)::BIGINT AS r FROM part")
@@ -122,7 +122,7 @@ dialect("c5_theta_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation AS a J
 dialect("c5_left_theta", "SELECT r.r_name, n.n_name FROM region AS r LEFT JOIN nation AS n ON n.n_nationkey > r.r_regionkey * 6")
 dialect("c6_lookup_join", "SELECT o.o_orderkey, o.o_totalprice, c.c_name FROM customer AS c JOIN orders AS o ON o.o_custkey = c.c_custkey WHERE c.c_custkey = 42")
 dialect("c7_where_key", "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 0")
-dialect("c8_self_join", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer AS a JOIN customer AS b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_custkey < 40")
+dialect("c8_self_join", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer AS a JOIN customer AS b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey")
 dialect("c9_multi_join", "SELECT r.r_name, COUNT(*) AS n, round(SUM(o.o_totalprice), 2) AS total FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey JOIN region AS r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
 dialect("c10_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)")
 dialect("c11_mixed_storage_join", "SELECT d.lang, COUNT(*) AS n FROM documents AS d JOIN labels AS l ON l.doc_id = d.doc_id GROUP BY d.lang")
@@ -187,11 +187,11 @@ dialect("e12_default_frame", "SELECT event_id, SUM(user_id) OVER (PARTITION BY e
         "SELECT event_id, CAST(SUM(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, CAST(SUM(user_id) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM events")
 
 # ---- F: order, limit, distinct -----------------------------------------------------------------
-dialect("f1_sort", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 20 ORDER BY o_totalprice DESC, o_orderkey")
+dialect("f1_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 dialect("f2_order_names", "SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY 2 DESC, k LIMIT 5")
-dialect("f3_null_order", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS LAST, d.doc_id LIMIT 300")
-dialect("f3_null_default", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id LIMIT 300",
-        "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 300")
+dialect("f3_null_order", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS LAST, d.doc_id")
+dialect("f3_null_default", "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id",
+        "SELECT d.doc_id, l.quality FROM documents AS d LEFT JOIN labels AS l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id")
 dialect("f4_limit_offset", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 20 OFFSET 15")
 dialect("f5_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 dialect("f7_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -252,11 +252,11 @@ dialect("h_round", "SELECT c_custkey, ABS(c_acctbal) AS a, ABS(-c_custkey) AS i,
         "SELECT c_custkey, abs(c_acctbal) AS a, c_custkey AS i, round(c_acctbal) AS r, round(c_acctbal, 1) AS r1, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, trunc(c_acctbal) AS t, CAST(sign(c_acctbal) AS BIGINT) AS s FROM customer")
 dialect("h_power", "SELECT p_partkey, ROUND(SQRT(p_size), 9) AS a, POW(p_size, 2) AS b, ROUND(EXP(p_size / 10.0), 6) AS c, ROUND(LN(p_size), 9) AS d, ROUND(LOG(p_size), 9) AS e, ROUND(LOG(2, p_size), 9) AS f, ROUND(LOG2(p_size), 9) AS g, ROUND(LOG10(p_size), 9) AS h FROM part",
         "SELECT p_partkey, round(sqrt(p_size), 9) AS a, pow(p_size, 2) AS b, round(exp(p_size / 10.0), 6) AS c, round(ln(p_size), 9) AS d, round(ln(p_size), 9) AS e, round(log2(p_size), 9) AS f, round(log2(p_size), 9) AS g, round(log10(p_size), 9) AS h FROM part")
-dialect("h_trigonometry", "SELECT p_size, ROUND(SIN(p_size), 9) AS a, ROUND(COS(p_size), 9) AS b, ROUND(TAN(p_size), 9) AS c, ROUND(ASIN(p_size / 100.0), 9) AS d, ROUND(ACOS(p_size / 100.0), 9) AS e, ROUND(ATAN(p_size), 9) AS f, ROUND(ATAN2(p_size, 3), 9) AS g, ROUND(DEGREES(p_size), 6) AS h, ROUND(RADIANS(p_size), 9) AS i, ROUND(PI(), 9) AS j FROM part WHERE p_partkey < 100")
+dialect("h_trigonometry", "SELECT p_size, ROUND(SIN(p_size), 9) AS a, ROUND(COS(p_size), 9) AS b, ROUND(TAN(p_size), 9) AS c, ROUND(ASIN(p_size / 100.0), 9) AS d, ROUND(ACOS(p_size / 100.0), 9) AS e, ROUND(ATAN(p_size), 9) AS f, ROUND(ATAN2(p_size, 3), 9) AS g, ROUND(DEGREES(p_size), 6) AS h, ROUND(RADIANS(p_size), 9) AS i, ROUND(PI(), 9) AS j FROM part")
 dialect("h_random", "SELECT COUNT(*) AS n FROM nation WHERE RANDOM() IS NOT NULL", "SELECT COUNT(*) AS n FROM nation")
-dialect("h_date", "SELECT o_orderkey, DATE(o_orderdate) AS d, TIME(o_orderdate) AS t, DATETIME(o_orderdate) AS dt, UNIXEPOCH(o_orderdate) AS u, JULIANDAY(o_orderdate) AS j FROM orders WHERE o_custkey < 100",
-        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt, CAST(epoch(o_orderdate) AS BIGINT) AS u, epoch(o_orderdate) / 86400.0 + 2440587.5 AS j FROM orders WHERE o_custkey < 100")
-dialect("h_strftime", "SELECT event_id, STRFTIME('%Y/%m/%d %H-%M %j %s %%', ts) AS s FROM events WHERE event_id < 500", "SELECT event_id, strftime(ts, '%Y/%m/%d %H-%M %j ') || CAST(floor(epoch(ts)) AS BIGINT) || ' %' AS s FROM events WHERE event_id < 500")
+dialect("h_date", "SELECT o_orderkey, DATE(o_orderdate) AS d, TIME(o_orderdate) AS t, DATETIME(o_orderdate) AS dt, UNIXEPOCH(o_orderdate) AS u, JULIANDAY(o_orderdate) AS j FROM orders",
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS dt, CAST(epoch(o_orderdate) AS BIGINT) AS u, epoch(o_orderdate) / 86400.0 + 2440587.5 AS j FROM orders")
+dialect("h_strftime", "SELECT event_id, STRFTIME('%Y/%m/%d %H-%M %j %s %%', ts) AS s FROM events", "SELECT event_id, strftime(ts, '%Y/%m/%d %H-%M %j ') || CAST(floor(epoch(ts)) AS BIGINT) || ' %' AS s FROM events")
 dialect("h_date_text", "SELECT n_nationkey, DATE('2024-02-03 04:05:06') AS a, TIME('04:05') AS b, DATE('nope') AS c, DATE('2024-02-03', '+1 day') AS d, DATETIME('86400') AS e, STRFTIME('%d', '2024-02-09') AS f FROM nation",
         "SELECT n_nationkey, '2024-02-03' AS a, '04:05:00' AS b, NULL::VARCHAR AS c, NULL::VARCHAR AS d, '1970-01-02 00:00:00' AS e, '09' AS f FROM nation")
 dialect("h_date_filter", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01'")
@@ -295,18 +295,18 @@ def i2(spark, sf_dir):
     return _loaded(spark, sf_dir, _LOAD).query("SELECT * FROM cust")
 
 
-@frame("i3_insert_or", f"SELECT id, CASE WHEN id <= 10 THEN 'new' ELSE name END AS name, CASE WHEN id <= 10 THEN NULL ELSE seg END AS seg, CASE WHEN id <= 10 THEN 0 ELSE bal END AS bal FROM ({_CUST}) WHERE id <= 60")
+@frame("i3_insert_or", f"SELECT id, CASE WHEN seg = 'BUILDING' THEN 'new' ELSE name END AS name, CASE WHEN seg = 'BUILDING' THEN NULL ELSE seg END AS seg, CASE WHEN seg = 'BUILDING' THEN 0 ELSE bal END AS bal FROM ({_CUST})")
 def i3(spark, sf_dir):
-    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_custkey <= 50")
-    db.execute("INSERT OR REPLACE INTO cust (id, name) SELECT c_custkey, 'new' FROM src WHERE c_custkey <= 10")
-    db.execute("INSERT OR IGNORE INTO cust SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM src WHERE c_custkey <= 60")
+    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_acctbal >= 0")
+    db.execute("INSERT OR REPLACE INTO cust (id, name) SELECT c_custkey, 'new' FROM src WHERE c_mktsegment = 'BUILDING'")
+    db.execute(f"INSERT OR IGNORE INTO cust {_LOAD}")
     return db.query("SELECT * FROM cust")
 
 
-@frame("i4_upsert", f"SELECT id, CASE WHEN id BETWEEN 40 AND 50 THEN name || '!' ELSE name END AS name, seg, CASE WHEN id BETWEEN 40 AND 50 THEN 2 * bal ELSE bal END AS bal FROM ({_CUST}) WHERE id <= 60")
+@frame("i4_upsert", f"SELECT id, CASE WHEN bal >= 0 THEN name || '!' ELSE name END AS name, seg, CASE WHEN bal >= 0 THEN 2 * bal ELSE bal END AS bal FROM ({_CUST})")
 def i4(spark, sf_dir):
-    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_custkey <= 50")
-    db.execute("INSERT INTO cust SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM src WHERE c_custkey BETWEEN 40 AND 60 ON CONFLICT(id) DO UPDATE SET name = cust.name || '!', bal = excluded.bal + cust.bal".replace("cust.", ""))
+    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_acctbal >= 0")
+    db.execute(f"INSERT INTO cust {_LOAD} ON CONFLICT(id) DO UPDATE SET name = cust.name || '!', bal = excluded.bal + cust.bal")
     return db.query("SELECT * FROM cust")
 
 
@@ -329,9 +329,9 @@ def i6_limit(spark, sf_dir):
     return _loaded(spark, sf_dir, _LOAD).execute("DELETE FROM cust ORDER BY bal DESC, id LIMIT 25 RETURNING id").returned
 
 
-@frame("i7_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS twice FROM customer WHERE c_custkey <= 30")
+@frame("i7_returning", "SELECT c_custkey AS id, c_acctbal * 2 AS twice FROM customer WHERE c_mktsegment = 'BUILDING'")
 def i7(spark, sf_dir):
-    return _loaded(spark, sf_dir, _LOAD).execute("UPDATE cust SET seg = 'X' WHERE id <= 30 RETURNING id, bal * 2 AS twice").returned
+    return _loaded(spark, sf_dir, _LOAD).execute("UPDATE cust SET seg = 'X' WHERE seg = 'BUILDING' RETURNING id, bal * 2 AS twice").returned
 
 
 @frame("j2_generated", "SELECT c_custkey AS id, c_acctbal AS bal, c_acctbal * 1.5 AS more FROM customer")
@@ -387,17 +387,17 @@ def j8(spark, sf_dir):
     return db.query("SELECT * FROM log")
 
 
-@frame("j9_savepoints", "SELECT COUNT(*) AS n FROM customer WHERE c_custkey > 10")
+@frame("j9_savepoints", "SELECT COUNT(*) AS n FROM customer WHERE c_acctbal >= 0")
 def j9(spark, sf_dir):
     db = _loaded(spark, sf_dir, _LOAD)
-    for sql in ("BEGIN", "DELETE FROM cust WHERE id <= 10", "SAVEPOINT s", "DELETE FROM cust", "ROLLBACK TO s", "RELEASE s", "COMMIT"):
+    for sql in ("BEGIN", "DELETE FROM cust WHERE bal < 0", "SAVEPOINT s", "DELETE FROM cust", "ROLLBACK TO s", "RELEASE s", "COMMIT"):
         db.execute(sql)
     return db.query("SELECT COUNT(*) AS n FROM cust")
 
 
 @frame("j11_table_info", "SELECT * FROM (VALUES (0, 'id', 'INTEGER', 1, 1), (1, 'name', 'TEXT', 1, 0), (2, 'seg', 'TEXT', 0, 0), (3, 'bal', 'REAL', 0, 0)) AS v(cid, name, type, \"notnull\", pk)")
 def j11(spark, sf_dir):
-    return _loaded(spark, sf_dir, f"{_LOAD} WHERE c_custkey = 1").query("PRAGMA table_info(cust)").drop("dflt_value")
+    return _loaded(spark, sf_dir, _LOAD).query("PRAGMA table_info(cust)").drop("dflt_value")
 
 
 @frame("j12_explain")
@@ -413,12 +413,12 @@ def j15(spark, sf_dir):
     return db.query_as_of("SELECT COUNT(*) AS then_ FROM cust", txn=txn).crossJoin(db.query("SELECT COUNT(*) AS now_ FROM cust"))
 
 
-@frame("l2_reactive_delta", "SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer WHERE c_custkey > 100 GROUP BY c_mktsegment")
+@frame("l2_reactive_delta", "SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer WHERE c_acctbal < 9000 AND c_mktsegment <> 'FURNITURE' GROUP BY c_mktsegment")
 def l2(spark, sf_dir):
-    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_custkey <= 1000")
+    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_acctbal >= 0")
     db.execute("CREATE REACTIVE VIEW v AS SELECT seg, COUNT(*) AS n FROM cust GROUP BY seg REFRESH DELTA")
-    db.execute("INSERT INTO cust SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM src WHERE c_custkey > 1000")
-    db.execute("DELETE FROM cust WHERE id <= 100")
+    db.execute(f"INSERT INTO cust {_LOAD} WHERE c_acctbal < 0")
+    db.execute("DELETE FROM cust WHERE bal >= 9000 OR seg = 'FURNITURE'")
     return db.query("SELECT seg, n FROM v")
 
 
@@ -445,7 +445,7 @@ def l9(spark, sf_dir):
 
 # ---- K: full-text search ------------------------------------------------------------------------
 def _tokens(c: str) -> str:
-    return rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')"
+    return rf"regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')"
 
 
 _SCORE = f"""
@@ -457,11 +457,11 @@ _SCORE = f"""
     FROM c, s WHERE a > 0 OR b > 0"""
 
 
-@frame("k1_postings", f"SELECT doc_id, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS term FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents WHERE doc_id % 10 = 3 AND lang = 'en')")
+@frame("k1_postings", f"SELECT doc_id, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS term FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents)")
 def k1(spark, sf_dir):
-    """The inverted index of the English documents of one residue class: a filter of the query's own, as postings of all are as large as the corpus."""
+    """The inverted index of all documents."""
     engine(spark, sf_dir)
-    return fts.postings(table(spark, sf_dir, "documents").where("doc_id % 10 = 3 AND lang = 'en'"), "doc_id", "text")
+    return fts.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @frame("k3_match", f"SELECT doc_id FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents) WHERE (list_contains(w, 'trash') AND NOT list_contains(w, 'worthless')) OR len([x FOR x IN w IF starts_with(x, 'licens')]) > 0")
