@@ -25,6 +25,8 @@ from .shared import attach, written
 #: Shingles that are hashed at once; longer texts come in blocks.
 BLOCK = 1 << 15
 RADIUS = 2
+#: Members of a bucket, or partners of a document, that one task takes together, about.
+GROUP = 1024
 
 
 def shingles(text: str, words: int) -> Iterator[list[bytes]]:
@@ -100,23 +102,44 @@ def simhash_components(documents: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-def sketches(words: int, tables: int, bits: int):
-    """(doc_id, copy, parts): a digest of the text, and ``tables`` independent fingerprints of ``bits`` bits."""
-    import xxhash
+def sketches(words: int, bands: int, depth: int):
+    """(doc_id, copy, fp, bands): a digest of the text, its fingerprint, and ``bands`` keys of ``depth`` least hashes each.
 
-    seeds = -(-tables * bits // 128)
+    A text without words has no bands.
+    """
+    import xxhash
 
-    def digest(x: bytes) -> bytes:
-        return b"".join(xxhash.xxh3_128_digest(x, seed=s) for s in range(seeds))
+    digest = partial(xxhash.xxh64_digest, seed=42)
+    odd = np.random.default_rng(42).integers(0, 1 << 63, bands * depth, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sketch(text: str) -> tuple[int, list[int]]:
+        ones, n = np.zeros(64, np.int64), 0
+        least = np.full(len(odd), (1 << 64) - 1, np.uint64)
+        for block in shingles(text, words):
+            raw = np.frombuffer(b"".join(map(digest, block)), np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
+            n += len(block)
+            hashes = raw.view(">u8").ravel().astype(np.uint64)
+            for a in range(0, len(hashes), 2048):
+                np.minimum(least, np.multiply.outer(odd, hashes[a:a + 2048]).min(axis=1), out=least)
+        if not n:
+            return 0, []
+        fp = int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+        keys = [xxhash.xxh3_64_digest(row.tobytes()) for row in least.reshape(bands, depth)]
+        return fp, [int.from_bytes(k, "big", signed=True) for k in keys]
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            wide = [int.from_bytes(majority(t, words, digest, 16 * seeds), "big") for t in texts]
-            parts = [[w >> bits * i & ((1 << bits) - 1) for i in range(tables)] for w in wide]
+            copies, fps, keys = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                fp, own = sketch(text)
+                copies.append(hashlib.sha256(text.encode()).digest()[:16])
+                fps.append(fp)
+                keys.append(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), pa.array(parts, pa.list_(pa.int64()))],
-                names=["doc_id", "copy", "parts"],
+                [batch.column(0), pa.array(copies, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "copy", "fp", "bands"],
             )
 
     return rows
@@ -141,31 +164,65 @@ def shingle_sets(words: int):
     return rows
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 6, bits: int = 40) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b; no b in many of them) that ``roots`` leaves apart and whose ``sets`` reach the similarity.
+
+    An ``a`` that many pairs share is split by b, and its set goes to each part.
+    """
+    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    heads = written(heads.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left"), "heads")
+    known = attach(pairs, heads, ["a"], "n", ["b"]).join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left")
+    apart = known.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    apart = written(apart.select("a", "b", F.expr(f"pmod(xxhash64(b), n div {GROUP} + 1)").alias("part")), "apart")
+    first = apart.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("a_grams")), "a")
+    second = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("b_grams"))
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    return apart.join(first, ["a", "part"]).join(second, "b").where(
+        both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
+    ).select("a", "b")
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, depth: int = 6) -> DataFrame:
     """(doc_id, class_id) of every document that isn't the first of its class.
 
     One 64-bit ball of radius two meets few pairs at a Jaccard similarity of
-    0.8, so candidates come from ``tables`` independent fingerprints of ``bits``
-    bits, each with the same ball hashing; a candidate is a link if the shingle
-    sets prove the similarity. Equal texts are one point from the start. Rows
-    with a null doc_id or text belong to no class.
+    0.8, so texts that share one of ``bands`` keys of ``depth`` least hashes are
+    candidates too (a pair at similarity s is met with probability
+    1 - (1 - s^depth)^bands: 0.999 at 0.8). A candidate is a link if the shingle
+    sets prove the similarity. Members of a bucket are compared with its least
+    one and, if that leaves them apart, with neighbours in an order that differs
+    from band to band, so the work is linear in the members. Equal texts are one
+    point from the start. Texts without words are alike. Rows with a null doc_id
+    or text belong to no class.
     """
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = written(texts.mapInArrow(sketches(words, tables, bits), "doc_id long, copy binary, parts array<long>"), "sketches")
-    copies = written(made.groupBy("copy").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.any_value("parts").alias("parts")), "copies")
-    parts = copies.select("node", F.posexplode("parts").alias("space", "fp"))
-    points = written(parts.groupBy("space", "fp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")), "points")
-    alike = attach(parts, points.where("n > 1"), ["space", "fp"], "n", ["node"]).where("head <> node")
-    met = ball_links(points.select("space", "fp", F.col("head").alias("node")), bits)
-    pairs = written(met.union(alike.select(F.col("head").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    made = written(texts.mapInArrow(sketches(words, bands, depth), "doc_id long, copy binary, fp long, bands array<long>"), "sketches")
+    copies = written(
+        made.groupBy("copy").agg(
+            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")
+        ),
+        "copies",
+    )
+    points = copies.groupBy("fp").agg(F.min("node").alias("node")).select(F.lit(0).alias("space"), "fp", "node")
+    ball = written(ball_links(points, 64), "ball")
+    parts = copies.select("node", F.posexplode(F.concat(F.array("fp"), F.col("bands"))).alias("space", "key"))
+    buckets = written(parts.groupBy("space", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = written(attach(parts, buckets, ["space", "key"], "n", ["node"]).where("head IS NOT NULL"), "members")
+
+    stars = members.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    least = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    mixed = F.xxhash64("node", "space")
+    chain = Window.partitionBy("space", "key", F.expr(f"pmod(xxhash64(node, space), n div {GROUP} + 1)")).orderBy(mixed, "node")
+    chains = members.select(F.lag("node").over(chain).alias("a"), F.col("node").alias("b")).where("a IS NOT NULL")
+
+    needed = members.select("node").union(ball.select("a")).union(ball.select("b")).distinct().withColumnRenamed("node", "doc_id")
     sets = written(texts.join(needed, "doc_id", "left_semi").mapInArrow(shingle_sets(words), "doc_id long, grams array<long>"), "shingles")
-    sided = lambda k: sets.select(F.col("doc_id").alias(k), F.col("grams").alias(f"{k}_grams"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    links = pairs.join(sided("a"), "a").join(sided("b"), "b").where(
-        both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)
-    ).select("a", "b")
-    roots = components(links)
+    links = documents.sparkSession.createDataFrame([], "a long, b long")
+    roots = documents.sparkSession.createDataFrame([], "node long, root long")
+    for candidates in (ball.union(least), stars.union(chains)):
+        pairs = written(candidates.distinct(), "pairs")
+        links = written(links.union(verified(pairs, sets, roots, similarity)), "links")
+        roots = components(links)
     classed = written(
         copies.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
             "copy", "n", F.coalesce("root", "node").alias("class_id")
