@@ -229,6 +229,38 @@ def test_near_duplicates(spark, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_against_brute_force(spark):
+    """Texts close to the similarity on either side, and one large group that shares its first half with others."""
+    r = random.Random(11)
+    texts = []
+    for seed in range(12):
+        base = prose(100 + seed, 150).split()
+        for changes in (0, 1, 2, 3, 4, 5, 6):
+            w = list(base)
+            for at in r.sample(range(5, 145), changes):
+                w[at] = f"new{r.random()}"
+            texts.append(" ".join(w))
+    shared = prose(500, 120)
+    texts += [shared + " " + prose(600 + i, 60) for i in range(8)] + [shared + " " + prose(500, 60) + f" end{i}" for i in range(40)]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts)) if find(i) != i}
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
