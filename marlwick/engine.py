@@ -7,6 +7,7 @@ tables (one join or filter each), never row by row on the driver.
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import time
 import uuid
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar
@@ -26,6 +27,15 @@ from .plans.translate import Scope, Translator, spark_type
 from .sources.store import ROWID, Column, State, Store, Table
 from .streaming import ivm
 
+#: Triggers that may be nested in each other.
+TRIGGER_DEPTH = 32
+#: Changes that a trigger's UPDATE applies to one row at a time.
+TRIGGER_FOLD = 4096
+#: Words for the values of switches.
+SWITCH = {"on": 1, "true": 1, "off": 0, "false": 0}
+#: Settings with a default: numbers and switches, and fixed words for what the file system does.
+PRAGMAS = {"user_version": 0, "foreign_keys": 1, "recursive_triggers": 0, "defer_foreign_keys": 0, "journal_mode": "none", "synchronous": "full"}
+
 
 @dataclass
 class Change:
@@ -48,6 +58,7 @@ class Engine:
         self.hooks: list[tuple[str, str, str, Callable[[DataFrame], None]]] = []
         self.callbacks: dict[str, list[Callable[[DataFrame], None]]] = {}
         self.counters = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
+        self.firing: list[str] = []  # the triggers that run now, the outermost first
 
     # -- queries
     def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> None:
@@ -64,6 +75,9 @@ class Engine:
         low = name.lower()
         if low in ("sqlite_master", "sqlite_schema"):
             return self.master(state)
+        if low == "sqlite_sequence":
+            rows = [(n, t.next_rowid - 1) for n, t in state.tables.items() if any(c.auto for c in t.columns) and t.next_rowid > 1]
+            return self.spark.createDataFrame(rows, "name string, seq long")
         for known in state.tables:
             if known.lower() == low:
                 return self.store.rows(known, state).drop(ROWID)
@@ -72,7 +86,8 @@ class Engine:
                 return self._run(sql, state, {})
         return self._external(low)
 
-    def _run(self, sql: str, state: State, params: dict) -> DataFrame:
+    def _run(self, sql: str, state: State, params: dict, beside: tuple[DataFrame, dict] | None = None) -> DataFrame:
+        """The rows of a query; ``beside`` are rows, and their scope, that it is evaluated for each of."""
         views: dict[str, str] = {}
 
         def lookup(name: str):
@@ -84,8 +99,15 @@ class Engine:
             return {c: spark_type(t) for c, t in df.dtypes}
 
         made = Views(lookup, params, views)
+        made.session = {k.upper(): v for k, v in self.counters.items()}
         try:
-            return self.spark.sql(made.translate(sql))
+            if beside is None:
+                return self.spark.sql(made.translate(sql))
+            rows, scope = beside
+            views[""] = f"{self.prefix}{uuid.uuid4().hex[:6]}"
+            rows.createOrReplaceTempView(views[""])
+            inner = made.query(Parser(sql).query(), Scope(scope))[0]
+            return self.spark.sql(f"SELECT `_inner`.* FROM `{views['']}` AS `_beside`, LATERAL ({inner}) AS `_inner`")
         finally:
             for view in views.values():
                 self.spark.catalog.dropTempView(view)
@@ -100,9 +122,6 @@ class Engine:
         if st["kind"] != "query":
             raise DialectError("query() takes SELECT, WITH, EXPLAIN or PRAGMA")
         params = {i + 1: v for i, v in enumerate(args)} | named
-        for word, key in (("CHANGES()", "changes"), ("TOTAL_CHANGES()", "total_changes"), ("LAST_INSERT_ROWID()", "last_insert_rowid")):
-            if st["sql"].upper().replace(" ", "") == f"SELECT{word}":
-                return self.spark.createDataFrame([(self.counters[key],)], f"`{word.lower()}` long")
         found = fts.matched(self, st["sql"], params)
         return found if found is not None else self._run(st["sql"], self.store.state, params)
 
@@ -162,10 +181,37 @@ class Engine:
         if name in ("integrity_check", "not_null_check"):
             bad = [f"{n}: {m}" for n in state.tables for m in self.violations(n, self.store.rows(n), whole=True)]
             return make([(x,) for x in bad or ["ok"]], f"{name} string")
-        if st.get("value") is not None:
-            state.pragmas[name] = st["value"]
+        if name == "active_database":
+            return make([("main",)], "active_database string")
+        if name == "not_null_repair":
+            return make([(n,) for n in self.repair_nulls()], "removed long")
+        value, default = st.get("value"), PRAGMAS.get(name)
+        if isinstance(default, int):
+            if value is not None:
+                word = value.lower()
+                if word not in SWITCH and not word.lstrip("-").isdigit():
+                    raise DialectError(f"PRAGMA {name} takes a number or a switch, not {value}")
+                state.pragmas[name] = str(SWITCH.get(word, word))
+                self.store.changed()
+            return make([(int(SWITCH.get(state.pragmas.get(name, ""), state.pragmas.get(name, default))),)], f"{name} long")
+        if value is not None and default is None:  # an unknown one is kept, and changes nothing
+            state.pragmas[name] = value
+            self.store.changed()
+        return make([(state.pragmas.get(name, default),)], f"{name} string")
+
+    def repair_nulls(self) -> list[int]:
+        """Delete the rows that break a NOT NULL; the number of them in each table that had any."""
+        out = []
+        for name, t in self.store.state.tables.items():
+            must = [c.name for c in t.columns if c.not_null]
+            rows = self.store.rows(name)
+            whole = rows.dropna(subset=must) if must else rows
+            if must and (gone := rows.count() - whole.count()):
+                self.store.put(name, whole, replace=True)
+                out.append(gone)
+        if out:
             self.store.changed()
-        return make([(state.pragmas.get(name),)], f"{name} string")
+        return out
 
     # -- statements
     def execute(self, sql: str, *args, **named) -> Change:
@@ -174,10 +220,13 @@ class Engine:
         run = getattr(self, f"_do_{st['kind']}", None)
         if run is None:
             raise DialectError(f"execute() doesn't take {st['kind']}; use query()")
-        before = None
-        if st["kind"] in ("insert", "update", "delete") and not self.store.saved:
-            self.store.begin()
-            before = True
+        before = kept = None
+        if st["kind"] in ("insert", "update", "delete"):
+            if self.store.saved:  # a statement that fails inside a transaction is undone alone
+                kept = copy.deepcopy(self.store.state)
+            else:
+                self.store.begin()
+                before = True
         try:
             out = run(st, params) or Change()
             if before:
@@ -185,6 +234,8 @@ class Engine:
         except Exception:
             if before:
                 self.store.end(keep=False)
+            elif kept is not None:
+                self.store.state = kept
             raise
         self.counters["changes"] = out.count
         self.counters["total_changes"] += out.count
@@ -242,7 +293,10 @@ class Engine:
 
     def _do_create_table(self, st, params):
         if self._new(st["name"], st["missing"]):
-            self.store.state.tables[st["name"]] = Table([Column(**c) for c in st["columns"]], keys=st["keys"], checks=st["checks"])
+            self.store.state.tables[st["name"]] = Table([Column(**c) for c in st["columns"]], keys=st["keys"], checks=st["checks"], columnar=st["columnar"])
+            if st["columnar"] and any(c.get("generated") for c in st["columns"]):
+                del self.store.state.tables[st["name"]]
+                raise DialectError("a columnstore table has no generated columns")
             self.store.changed()
 
     def _do_create_fts(self, st, params):
@@ -263,6 +317,8 @@ class Engine:
 
     def _do_create_index(self, st, params):
         t = self.store.state.tables[st["table"]]
+        if t.columnar:
+            raise DialectError("a columnstore table has no index")
         if st["name"] in t.indexes:
             if st["missing"]:
                 return
@@ -275,8 +331,10 @@ class Engine:
 
     def _do_create_trigger(self, st, params):
         for sql in st["body"]:
-            if StatementParser(sql).statement()["kind"] != "insert":
-                raise DialectError("triggers run on whole sets of changes; their bodies are INSERT statements")
+            if StatementParser(sql).statement()["kind"] not in ("insert", "update", "delete"):
+                raise DialectError("the body of a trigger is INSERT, UPDATE and DELETE statements")
+        if (st["timing"] == "INSTEAD") != (st["table"] in self.store.state.views):
+            raise DialectError("INSTEAD OF is for views, BEFORE and AFTER are for tables")
         self.store.state.triggers[st["name"]] = {k: st[k] for k in ("timing", "event", "table", "when", "body")}
         self.store.changed()
 
@@ -303,6 +361,8 @@ class Engine:
     def _do_alter(self, st, params):
         s, name = self.store.state, st["table"]
         t, rows = s.tables[name], self.store.rows(name)
+        if t.columnar:
+            raise DialectError("a columnstore table can't be altered")
         if "to" in st:
             self._new(st["to"], False)
             s.tables[st["to"]] = s.tables.pop(name)
@@ -411,11 +471,35 @@ class Engine:
 
     def _do_insert(self, st, params):
         name = st["table"]
+        if name in self.store.state.views:
+            t, _ = self._view(name)
+            new = self._numbered(self._incoming(st, t, params), 1)
+            return self._instead(name, t, "INSERT", self._feed(t, None, new))
         t = self.store.state.tables.get(name)
         if t is None:
             raise DialectError(f"no such table: {name}")
-        df = self._finish(self._incoming(st, t, params), t)
-        df = self._fixed(df.withColumn(ROWID, F.lit(t.next_rowid) + F.monotonically_increasing_id()))
+        if t.columnar and st["upsert"]:
+            raise DialectError("a columnstore table takes no upsert")
+        return self._insert(name, t, self._incoming(st, t, params), st, params)
+
+    def _numbered(self, df: DataFrame, first: int) -> DataFrame:
+        """``df`` as a table, with row ids from ``first`` without gaps.
+
+        A place is a partition and a number in it; the counts of the partitions, one
+        row for each task, give every partition its first id.
+        """
+        places = self._fixed(df.withColumn(ROWID, F.monotonically_increasing_id()))
+        part, at = F.shiftright(ROWID, 33), F.col(ROWID).bitwiseAND((1 << 33) - 1)
+        counts = sorted(places.groupBy(part.alias("part")).count().collect())
+        starts, total = [], first
+        for p, n in counts:
+            starts.append((p, total))
+            total += n
+        offsets = self.spark.createDataFrame(starts, "_part long, _start long")
+        return places.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(ROWID, F.col("_start") + at).drop("_part", "_start")
+
+    def _insert(self, name: str, t: Table, df: DataFrame, st: dict, params: dict) -> Change:
+        df = self._numbered(self._finish(df, t), t.next_rowid)
         own = t.keys[0][0] if t.keys and len(t.keys[0]) == 1 and next(c for c in t.columns if c.name == t.keys[0][0]).type == "int" else None
         if own:  # an integer key that isn't given is the row id
             df = df.withColumn(own, F.coalesce(F.col(own), F.col(ROWID))).withColumn(ROWID, F.col(own))
@@ -424,16 +508,16 @@ class Engine:
         if st["how"] == "IGNORE":
             for c in t.columns:
                 df = df.where(F.col(c.name).isNotNull()) if c.not_null else df
-            for key in t.keys:
+            for key in t.keys:  # a key with a null is like no other
                 first = df.groupBy(*key).agg(F.min(ROWID).alias("_first"))
-                df = df.join(first, key).where(F.col(ROWID) == F.col("_first")).drop("_first") if key != [own] else df.dropDuplicates(key)
+                df = df.join(first, key, "left").where(F.col(ROWID) == F.coalesce("_first", ROWID)).drop("_first") if key != [own] else df.dropDuplicates(key)
                 df = df.join(self.store.rows(name).select(*key), key, "left_anti")
             df = self._fixed(df)
         elif st["how"] == "REPLACE":
             old = self.store.rows(name)
             for key in t.keys:
                 newest = df.groupBy(*key).agg(F.max(ROWID).alias("_last"))
-                df = df.join(newest, key).where(F.col(ROWID) == F.col("_last")).drop("_last") if key != [own] else df.dropDuplicates(key)
+                df = df.join(newest, key, "left").where(F.col(ROWID) == F.coalesce("_last", ROWID)).drop("_last") if key != [own] else df.dropDuplicates(key)
                 old = old.join(df.select(*key), key, "left_anti")
             replaced, df = self._fixed(old), self._fixed(df)
         elif st["upsert"]:
@@ -469,8 +553,20 @@ class Engine:
         touched = updated.unionByName(added)
         return self._settle(name, t, touched.count(), feed, returning, touched, params)
 
-    def _chosen(self, st, t: Table, params: dict) -> DataFrame:
-        rows = self.store.rows(st["table"]).alias("t")
+    def _view(self, name: str) -> tuple[Table, DataFrame]:
+        """A view as a table without parts, and its rows with numbers for row ids."""
+        df = self._run(self.store.state.views[name], self.store.state, {})
+        return Table([Column(c, {"ts": "text", "bool": "int"}.get(ty := spark_type(d), ty)) for c, d in df.dtypes]), df
+
+    def _instead(self, name: str, t: Table, event: str, feed: DataFrame) -> Change:
+        if not any((x["table"], x["timing"], x["event"]) == (name, "INSTEAD", event) for x in self.store.state.triggers.values()):
+            raise DialectError(f"{name} is a view without an INSTEAD OF {event} trigger")
+        feed = self._fixed(feed)
+        self._fire(name, "INSTEAD", event, feed, t)
+        return Change(feed.count(), None, feed, name)
+
+    def _chosen(self, st, t: Table, params: dict, rows: DataFrame | None = None) -> DataFrame:
+        rows = (self.store.rows(st["table"]) if rows is None else rows).alias("t")
         if st["where"] is not None:
             rows = rows.where(self._test(st["where"], t, params))
         if st["limit"] is not None:
@@ -480,11 +576,18 @@ class Engine:
         return rows.select("t.*")
 
     def _do_update(self, st, params):
-        name, t = st["table"], self.store.state.tables[st["table"]]
+        name = st["table"]
+        view = self._view(name) if name in self.store.state.views else None
+        t = view[0] if view else self.store.state.tables[name]
         types = self._types(t)
-        chosen = self._fixed(self._chosen(st, t, params))
+        chosen = self._fixed(self._chosen(st, t, params, self._numbered(view[1], 1) if view else None))
         sets = {c: self._value(e, params, {"t": types}).cast(SQL_TYPE[types[c]]) for c, e in st["set"]}
         new = chosen.alias("t").select(F.col(f"t.{ROWID}").alias(ROWID), *(sets.get(c, F.col(f"t.`{c}`")).alias(c) for c in t.names()))
+        if view:
+            return self._instead(name, t, "UPDATE", self._feed(t, chosen, new))
+        return self._update(name, t, chosen, new, st["returning"], params)
+
+    def _update(self, name: str, t: Table, chosen: DataFrame, new: DataFrame, returning, params: dict) -> Change:
         new = self._fixed(self._finish(new, t).select(ROWID, *t.names()))
         self._fire(name, "BEFORE", "UPDATE", self._feed(t, chosen, new))
         kept = self.store.rows(name).join(chosen.select(ROWID), ROWID, "left_anti")
@@ -494,16 +597,23 @@ class Engine:
         self.store.put(name, result, replace=True)
         feed = self._feed(t, chosen, new)
         self._cascade(name, "UPDATE", feed)
-        return self._settle(name, t, new.count(), feed, st["returning"], new, params)
+        return self._settle(name, t, new.count(), feed, returning, new, params)
 
     def _do_delete(self, st, params):
-        name, t = st["table"], self.store.state.tables[st["table"]]
-        chosen = self._fixed(self._chosen(st, t, params))
+        name = st["table"]
+        view = self._view(name) if name in self.store.state.views else None
+        t = view[0] if view else self.store.state.tables[name]
+        chosen = self._fixed(self._chosen(st, t, params, self._numbered(view[1], 1) if view else None))
+        if view:
+            return self._instead(name, t, "DELETE", self._feed(t, chosen, None))
+        return self._delete(name, t, chosen, st["returning"], params)
+
+    def _delete(self, name: str, t: Table, chosen: DataFrame, returning, params: dict) -> Change:
         feed = self._feed(t, chosen, None)
         self._fire(name, "BEFORE", "DELETE", feed)
         self.store.put(name, self.store.rows(name).join(chosen.select(ROWID), ROWID, "left_anti"), replace=True)
         self._cascade(name, "DELETE", feed)
-        return self._settle(name, t, chosen.count(), feed, st["returning"], chosen, params)
+        return self._settle(name, t, chosen.count(), feed, returning, chosen, params)
 
     def _cascade(self, parent: str, event: str, feed: DataFrame) -> None:
         """Follow foreign keys to the children: one join for each key, however many rows."""
@@ -571,34 +681,105 @@ class Engine:
         """``f`` gets the change feed of each statement on the table; a BEFORE hook may raise to refuse it."""
         self.hooks.append((table, timing.upper(), event.upper(), f))
 
-    def _fire(self, table: str, timing: str, event: str, feed: DataFrame, depth: int = 0) -> None:
+    def _fire(self, table: str, timing: str, event: str, feed: DataFrame, t: Table | None = None) -> None:
         hooks = [f for n, w, e, f in self.hooks if (n, w, e) == (table, timing, event)]
-        triggers = [x for x in self.store.state.triggers.values() if (x["table"], x["timing"], x["event"]) == (table, timing, event)]
+        again = SWITCH.get(self.store.state.pragmas.get("recursive_triggers", "0"), self.store.state.pragmas.get("recursive_triggers", "0")) in (1, "1")
+        triggers = [
+            (n, x) for n, x in self.store.state.triggers.items()
+            if (x["table"], x["timing"], x["event"]) == (table, timing, event) and (again or n not in self.firing)
+        ]
         if not hooks and not triggers or feed.isEmpty():
             return
         for f in hooks:
             f(feed)
-        t = self.store.state.tables[table]
+        t = t or self.store.state.tables[table]
         types = self._types(t)
-        for x in triggers:
-            names = t.names()
-            sided = feed.select(*(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in names)).alias(s) for s in ("old", "new")))
+        last = self.counters["last_insert_rowid"]
+        for name, x in triggers:
+            if len(self.firing) >= TRIGGER_DEPTH:
+                raise DialectError(f"triggers are nested more than {TRIGGER_DEPTH} deep")
+            sided = feed.select(F.col(ROWID).alias("_seq"), *(F.struct(*(F.col(f"{s}_{c}").alias(c) for c in t.names())).alias(s) for s in ("old", "new")))
             if x["when"]:
                 sided = sided.where(F.expr(Translator(lambda n: None).test(Parser(x["when"]).expr(), Scope({"old": types, "new": types}))))
-            for sql in x["body"]:
-                st = StatementParser(sql).statement()
-                if "values" not in st:
-                    raise DialectError("a trigger's INSERT has VALUES")
-                target = self.store.state.tables[st["table"]]
-                columns = st["columns"] or target.names()
-                frames = [sided.select(*(self._value(v, {}, {"old": types, "new": types}).cast(SQL_TYPE[next(c.type for c in target.columns if c.name == n)]).alias(n) for n, v in zip(columns, row, strict=True))) for row in st["values"]]
-                for frame in frames:
-                    added = frame.select(*columns, *(F.lit(None).cast(SQL_TYPE[c.type]).alias(c.name) for c in target.columns if c.name not in columns))
-                    added = self._fixed(self._finish(added, target).withColumn(ROWID, F.lit(target.next_rowid) + F.monotonically_increasing_id()))
-                    if bad := self.violations(st["table"], added.select(ROWID, *target.names())):
-                        raise DialectError(bad[0])
-                    self.store.put(st["table"], added)
-                    target.next_rowid = (added.agg(F.max(ROWID)).first()[0] or target.next_rowid - 1) + 1
+            sided = self._fixed(sided)
+            if sided.isEmpty():
+                continue
+            self.firing.append(name)
+            try:
+                for sql in x["body"]:
+                    st = StatementParser(sql).statement()
+                    getattr(self, f"_trigger_{st['kind']}")(st, sided, types)
+            finally:
+                self.firing.pop()
+                self.counters["last_insert_rowid"] = last
+
+    def _target(self, name: str) -> Table:
+        if name not in self.store.state.tables:
+            raise DialectError(f"no such table: {name}")
+        return self.store.state.tables[name]
+
+    def _trigger_insert(self, st: dict, sided: DataFrame, types: dict) -> None:
+        """One INSERT for all changed rows; a SELECT is joined with them laterally."""
+        target = self._target(st["table"])
+        columns = st["columns"] or [c.name for c in target.columns if not c.generated]
+        kinds = {c.name: SQL_TYPE[c.type] for c in target.columns}
+        if "values" in st:
+            frames = [
+                sided.select(*(self._value(v, {}, {"old": types, "new": types}).cast(kinds[n]).alias(n) for n, v in zip(columns, row, strict=True)))
+                for row in st["values"]
+            ]
+        else:
+            frames = [self._run(st["select"], self.store.state, {}, (sided, {"old": types, "new": types})).toDF(*columns)]
+        for df in frames:
+            for c in target.columns:
+                if c.name not in columns and not c.generated:
+                    df = df.withColumn(c.name, (self._value(c.default, {}) if c.default else F.lit(None)).cast(kinds[c.name]))
+            self._insert(st["table"], target, df, st | {"returning": None}, {})
+
+    def _trigger_delete(self, st: dict, sided: DataFrame, types: dict) -> None:
+        name, t = st["table"], self._target(st["table"])
+        rows = self.store.rows(name).alias("t")
+        chosen = rows.join(sided, self._met(st, t, types), "left_semi").select("t.*")
+        self._delete(name, t, self._fixed(chosen), None, {})
+
+    def _met(self, st: dict, t: Table, types: dict) -> Column:
+        """Whether a row of a trigger's target goes with a changed row."""
+        if st["limit"] is not None:
+            raise DialectError("a trigger's UPDATE or DELETE has no LIMIT")
+        if st["where"] is None:
+            return F.lit(True)
+        scope = Scope({"t": self._types(t), "old": types, "new": types})
+        return F.expr(Translator(lambda n: None).test(_renamed(st["where"], st["table"], "t"), scope))
+
+    def _trigger_update(self, st: dict, sided: DataFrame, types: dict) -> None:
+        """UPDATE by all changed rows, in their order where several go with one row.
+
+        Which rows go together is settled first. Each row's changes are then folded
+        by TRIGGER_FOLD at a time, so no task holds more of them at once.
+        """
+        name, t = st["table"], self._target(st["table"])
+        own = self._types(t)
+        pairs = self.store.rows(name).alias("t").join(sided, self._met(st, t, types)).select(F.col(f"t.{ROWID}").alias(ROWID), "_seq", "old", "new")
+        place = F.row_number().over(Window.partitionBy(ROWID).orderBy("_seq")) - 1
+        pairs = self._fixed(pairs.withColumn("_round", F.floor(place / TRIGGER_FOLD).cast("int")))
+        rounds = pairs.agg(F.max("_round")).first()[0]
+        if rounds is None:
+            return
+        chosen = self._fixed(self.store.rows(name).join(pairs.select(ROWID).distinct(), ROWID, "left_semi"))
+        sided_types = {f"{s}_{c}": ty for s in ("old", "new") for c, ty in types.items()}
+        scope = Scope({"_row": own, "_change": sided_types})
+        sets = {c: Translator(lambda n: None).expr(_flat(_renamed(e, name, "_row")), scope)[0] for c, e in st["set"]}
+        fields = ", ".join(f"CAST({sets.get(c, f'`_row`.`{c}`')} AS {SQL_TYPE[ty]}) AS `{c}`" for c, ty in own.items())
+        flat = F.struct("_seq", *(F.col(f"{s}.`{c}`").alias(f"{s}_{c}") for s in ("old", "new") for c in types))
+        start = ", ".join(f"CAST(`{c}` AS {SQL_TYPE[ty]}) AS `{c}`" for c, ty in own.items())
+        new = chosen
+        for n in range(rounds + 1):
+            held = pairs.where(F.col("_round") == n).groupBy(ROWID).agg(F.sort_array(F.collect_list(flat)).alias("_changes"))
+            folded = new.join(held, ROWID, "left").withColumn(
+                "_out", F.expr(f"aggregate(coalesce(_changes, array()), struct({start}), (_row, _change) -> struct({fields}))")
+            )
+            new = self._fixed(folded.select(ROWID, *(F.col(f"_out.`{c}`").alias(c) for c in t.names())))
+        self._update(name, t, chosen, new, None, {})
 
     # -- sinks
     def dump(self, schema_only: bool = False, data_only: bool = False) -> Iterator[str]:
@@ -626,6 +807,15 @@ class Engine:
                 yield f"CREATE VIEW {name(n)} AS {sql};"
 
 
+def _flat(node):
+    """Syntax in which OLD.x and NEW.x are the columns old_x and new_x of _change."""
+    if isinstance(node, tuple) and node[:1] == ("col",) and node[1] and node[1].lower() in ("old", "new"):
+        return ("col", "_change", f"{node[1].lower()}_{node[2]}")
+    if isinstance(node, (tuple, list)):
+        return type(node)(_flat(x) for x in node)
+    return node
+
+
 def _renamed(node, old: str, new: str):
     """Syntax with columns of the table ``old`` named by the alias ``new``."""
     if isinstance(node, tuple) and node[:1] == ("col",) and node[1] and node[1].lower() == old.lower():

@@ -387,6 +387,18 @@ def j8(spark, sf_dir):
     return db.query("SELECT * FROM log")
 
 
+@frame("j8_trigger_update", "SELECT c_nationkey AS nation, COUNT(*) AS n, ROUND(SUM(c_acctbal), 2) AS bal FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 0")
+def j8_update(spark, sf_dir):
+    db = Engine(spark)
+    db.register("src", lambda: table(spark, sf_dir, "customer"))
+    db.execute("CREATE TABLE cust (id INTEGER PRIMARY KEY, nation INTEGER, bal REAL)")
+    db.execute("CREATE TABLE total (nation INTEGER, n INTEGER, bal REAL)")
+    db.execute("INSERT INTO total SELECT DISTINCT c_nationkey, 0, 0.0 FROM src")
+    db.execute("CREATE TRIGGER tr AFTER INSERT ON cust BEGIN UPDATE total SET n = n + 1, bal = bal + NEW.bal WHERE nation = NEW.nation; END")
+    db.execute("INSERT INTO cust SELECT c_custkey, c_nationkey, c_acctbal FROM src")
+    return db.query("SELECT nation, n, ROUND(bal, 2) AS bal FROM total")
+
+
 @frame("j9_savepoints", "SELECT COUNT(*) AS n FROM customer WHERE c_acctbal >= 0")
 def j9(spark, sf_dir):
     db = _loaded(spark, sf_dir, _LOAD)

@@ -186,3 +186,114 @@ def test_plans(spark):
     assert "LeftSemi" in plan("b18_exists") and "LeftAnti" in plan("b18_not_exists")
     assert "TakeOrderedAndProject" in plan("f5_top_k")
     assert "CartesianProduct" not in plan("tpch_q5")
+
+
+def taken(db, sql, *args):
+    return sorted(map(tuple, db.query(sql, *args).collect()))
+
+
+def test_trigger_bodies(db):
+    for sql in (
+        "CREATE TABLE t(n INTEGER, s TEXT)",
+        "CREATE TABLE total(s TEXT, sum INTEGER, last INTEGER)",
+        "CREATE TABLE log(what TEXT, n INTEGER)",
+        "INSERT INTO total VALUES ('a', 0, NULL), ('b', 100, NULL), ('c', 7, NULL)",
+        "CREATE TRIGGER add_up AFTER INSERT ON t BEGIN UPDATE total SET sum = sum + NEW.n, last = NEW.n WHERE s = NEW.s; "
+        "INSERT INTO log SELECT 'over ' || total.s, NEW.n FROM total WHERE total.s = NEW.s AND sum > 5; END",
+        "CREATE TRIGGER take_off AFTER DELETE ON t WHEN OLD.n > 1 BEGIN DELETE FROM total WHERE s = OLD.s; END",
+        "INSERT INTO t VALUES (1, 'a'), (2, 'a'), (3, 'b')",
+    ):
+        db.execute(sql)
+    # Changes of one row are applied in their order; all of them before the next statement of the body.
+    assert taken(db, "SELECT * FROM total WHERE last IS NOT NULL") == [("a", 3, 2), ("b", 103, 3)]
+    assert taken(db, "SELECT * FROM total WHERE last IS NULL") == [("c", 7, None)]
+    assert taken(db, "SELECT * FROM log") == [("over b", 3)]
+    db.execute("DELETE FROM t WHERE s = 'a'")
+    assert taken(db, "SELECT s FROM total") == [("b",), ("c",)]
+
+
+def test_folds_of_a_trigger_go_in_parts(db, monkeypatch):
+    monkeypatch.setattr("marlwick.engine.TRIGGER_FOLD", 3)
+    db.execute("CREATE TABLE t(n INTEGER)")
+    db.execute("CREATE TABLE digits(v INTEGER)")
+    db.execute("INSERT INTO digits VALUES (0), (9)")
+    db.execute("CREATE TRIGGER append AFTER INSERT ON t BEGIN UPDATE digits SET v = v * 10 + NEW.n WHERE v = 0; END")
+    db.execute("INSERT INTO t VALUES (1), (2), (3), (4), (5), (6), (7)")
+    assert taken(db, "SELECT v FROM digits") == [(9,), (1234567,)]
+
+
+def test_triggers_nest_to_a_depth(db):
+    db.execute("CREATE TABLE t(n INTEGER)")
+    db.execute("CREATE TRIGGER again AFTER INSERT ON t WHEN NEW.n < 3 BEGIN INSERT INTO t VALUES (NEW.n + 1); END")
+    db.execute("INSERT INTO t VALUES (1)")
+    assert taken(db, "SELECT n FROM t") == [(1,), (2,)]  # a trigger doesn't start itself
+    db.execute("PRAGMA recursive_triggers = on")
+    db.execute("INSERT INTO t VALUES (1)")
+    assert taken(db, "SELECT n FROM t") == [(1,), (1,), (2,), (2,), (3,)]
+    db.execute("CREATE TRIGGER forever AFTER INSERT ON t WHEN NEW.n > 9 BEGIN INSERT INTO t VALUES (NEW.n + 1); END")
+    with pytest.raises(DialectError, match="nested"):
+        db.execute("INSERT INTO t VALUES (10)")
+    assert taken(db, "SELECT COUNT(*) FROM t") == [(5,)]
+
+
+def test_views_take_changes_through_triggers(db):
+    db.execute("CREATE TABLE t(n INTEGER, s TEXT)")
+    db.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    db.execute("CREATE VIEW v(ten) AS SELECT n * 10 FROM t")
+    with pytest.raises(DialectError, match="INSTEAD OF INSERT"):
+        db.execute("INSERT INTO v VALUES (30)")
+    with pytest.raises(DialectError, match="for views"):
+        db.execute("CREATE TRIGGER x INSTEAD OF DELETE ON t BEGIN DELETE FROM t; END")
+    db.execute("CREATE TRIGGER i INSTEAD OF INSERT ON v BEGIN INSERT INTO t VALUES (NEW.ten / 10, 'via'); END")
+    db.execute("CREATE TRIGGER u INSTEAD OF UPDATE ON v BEGIN UPDATE t SET s = s || NEW.ten WHERE n = OLD.ten / 10; END")
+    db.execute("CREATE TRIGGER d INSTEAD OF DELETE ON v BEGIN DELETE FROM t WHERE n = OLD.ten / 10; END")
+    assert db.execute("INSERT INTO v VALUES (30), (40)").count == 2
+    db.execute("UPDATE v SET ten = ten + 1 WHERE ten = 20")
+    db.execute("DELETE FROM v WHERE ten < 20")
+    assert taken(db, "SELECT * FROM t") == [(2, "b21"), (3, "via"), (4, "via")]
+
+
+def test_session_functions_and_row_ids(db):
+    db.execute("CREATE TABLE t(id INTEGER PRIMARY KEY AUTOINCREMENT, s TEXT)")
+    db.execute("INSERT INTO t(s) VALUES ('x'), ('y'), ('z')")
+    assert taken(db, "SELECT CHANGES() + 0, LAST_INSERT_ROWID(), TOTAL_CHANGES()") == [(3, 3, 3)]
+    db.execute("INSERT INTO t(s) SELECT s || s FROM t")
+    assert taken(db, "SELECT id FROM t") == [(i,) for i in range(1, 7)]
+    assert taken(db, "SELECT * FROM sqlite_sequence") == [("t", 6)]
+
+
+def test_failed_statement_in_a_transaction_is_undone_alone(db):
+    db.execute("CREATE TABLE t(a INTEGER, b INTEGER NOT NULL, PRIMARY KEY (a, b DESC)) WITHOUT ROWID")
+    with db.transaction():
+        db.execute("INSERT INTO t VALUES (1, 1)")
+        with pytest.raises(DialectError):
+            db.execute("INSERT OR REPLACE INTO t VALUES (1, 1), (2, NULL)")
+    assert taken(db, "SELECT * FROM t") == [(1, 1)]
+
+
+def test_settings_and_columnstore(db):
+    assert taken(db, "PRAGMA user_version") == [(0,)]
+    db.execute("PRAGMA user_version = 7")
+    db.execute("PRAGMA foreign_keys = off")
+    assert taken(db, "PRAGMA user_version") + taken(db, "PRAGMA foreign_keys") == [(7,), (0,)]
+    with pytest.raises(DialectError):
+        db.execute("PRAGMA recursive_triggers = maybe")
+    db.execute("CREATE TABLE c(a INTEGER) USING COLUMNSTORE")
+    for sql in ("CREATE INDEX i ON c(a)", "ALTER TABLE c ADD COLUMN b TEXT", "CREATE TABLE d(a INTEGER, b INTEGER AS (a + 1)) USING COLUMNSTORE"):
+        with pytest.raises(DialectError, match="columnstore"):
+            db.execute(sql)
+
+
+def test_concatenation_beside_distinct_aggregates(db):
+    db.execute("CREATE TABLE t(n INTEGER, s TEXT)")
+    db.execute("INSERT INTO t VALUES (1, 'b'), (1, 'a'), (2, 'a'), (3, NULL)")
+    sql = "SELECT GROUP_CONCAT(s, '-'), GROUP_CONCAT(DISTINCT s), COUNT(DISTINCT s), SUM(DISTINCT n) FROM t"
+    assert taken(db, sql) == [("a-a-b", "a,b", 2, 6)]
+    assert taken(db, sql + " WHERE n > 2") == [(None, None, 0, 3)]
+
+
+def test_keys_with_nulls_are_kept_apart(db):
+    db.execute("CREATE TABLE t(a INTEGER, b TEXT UNIQUE)")
+    db.execute("INSERT OR IGNORE INTO t VALUES (1, NULL), (2, NULL), (3, 'x'), (4, 'x')")
+    db.execute("INSERT OR REPLACE INTO t VALUES (5, NULL), (6, 'x')")
+    assert sorted(a for (a,) in taken(db, "SELECT a FROM t")) == [1, 2, 5, 6]
