@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import atexit
 import shutil
+from collections.abc import Iterator
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than one part in HOT_PARTS of the counted rows,
 #: so there are fewer than HOT_PARTS hot keys whatever the input's size.
 HOT_PARTS = 1024
+#: Bytes of an Arrow batch at most, about; a worker holds a few such batches however long the texts of a table are.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def workspace(spark: SparkSession) -> str:
@@ -42,11 +47,23 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for what is run inside; the session's setting comes back afterwards."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_SETTING) if before is None else spark.conf.set(BATCH_SETTING, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again with its schema."""
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
