@@ -17,13 +17,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
 LEAD = b" " * ORDER
-#: Bytes that are scored at once.
-BLOCK = 1 << 20
+#: Bytes that are scored at once; the arrays of a block take some eighty times as many.
+BLOCK = 1 << 18
 #: A-Z as a-z, digits as 0, white space as a space; other bytes as they are.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
 
@@ -172,6 +173,19 @@ class Model:
         np.add.at(out, [i for i, _ in part], sums)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` (text, ...) of about BLOCK bytes of text, or one row where that is longer."""
+    at, held = 0, 0
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    for i, size in enumerate(sizes):
+        if i > at and held + size > BLOCK:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -203,7 +217,7 @@ def identify(documents: DataFrame, model: Model, schema: str = "doc_id long, hel
 
         letter = regex.compile(r"\p{L}").search
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             names, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             texts = [t if t and letter(t) else None for t in batch.column("text").to_pylist()]
             index = [i for i, t in enumerate(texts) if t is not None and model.languages]
@@ -242,7 +256,7 @@ def drop_unknown(documents: DataFrame, least: float = 0.5, **options) -> DataFra
 
         letter = regex.compile(r"\p{L}").search
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             kept = [bool(t and letter(t) and model.languages) for t in batch.column("text").to_pylist()]
             index = np.flatnonzero(kept)
             if len(index):
