@@ -182,6 +182,56 @@ def verified(pairs: DataFrame, sets: DataFrame, roots: DataFrame, similarity: fl
     ).select("a", "b")
 
 
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the ``members`` (space, key, head, n, node) of buckets whose nodes ``roots`` leaves in several classes."""
+    known = members.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
+        "space", "key", "n", "node", F.coalesce("root", "node").alias("root")
+    )
+    known = written(known, "known")
+    mixed = known.groupBy("space", "key").agg(F.first("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = written(mixed.where("low <> high").select("space", "key", "n", F.lit(True).alias("mixed")), "mixed")
+    return attach(known.select("space", "key", "node", "root"), mixed, ["space", "key"], "n", ["node"]).where("mixed").select("node", "root").distinct()
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of ``nodes`` (node, root) with different roots whose ``sets`` can reach the similarity.
+
+    Shingles are put in order from the rarest among the nodes to the commonest.
+    Two sets that reach the similarity share one of their first
+    size - ceil(similarity * size) + 1 shingles, and behind the first that they
+    share there must be enough left for the rest; so nothing is lost. A shingle
+    that many nodes have early is split on both sides. Nodes of its largest
+    class meet the others only, so the rows that come out are pairs still apart.
+    Empty sets count as having one shingle, 0.
+    """
+    own = sets.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(
+        "doc_id", "root", F.greatest(F.size("grams"), F.lit(1)).alias("size"),
+        F.explode(F.when(F.size("grams") > 0, F.col("grams")).otherwise(F.array(F.lit(0).cast("long")))).alias("gram"),
+    )
+    shared = written(own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    ranked = attach(own, shared, ["gram"], "n", ["doc_id"]).where("n IS NOT NULL")
+    mine = Window.partitionBy("doc_id")
+    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "gram"))
+    early = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+    early = written(early.select("gram", "doc_id", "root", "size", "place"), "early")
+    held = early.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
+    held = held.groupBy("gram").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    held = written(held.where("n > most"), "held")
+    here = attach(early, held, ["gram"], "n", ["doc_id"]).where("n IS NOT NULL")
+    here = written(here.withColumns({"lefts": F.expr(f"n div {GROUP} + 1"), "rights": F.expr(f"(n - most) div {GROUP} + 1")}), "here")
+    names = ["doc_id", "root", "size", "place"]
+    left = here.select("gram", "main", *(F.col(c).alias(f"l_{c}") for c in names), F.expr("pmod(xxhash64(doc_id), lefts)").alias("i"), F.explode(F.expr("sequence(0L, rights - 1)")).alias("j"))
+    right = here.where("root <> main").select("gram", *(F.col(c).alias(f"r_{c}") for c in names), F.expr("pmod(xxhash64(doc_id), rights)").alias("j"), F.explode(F.expr("sequence(0L, lefts - 1)")).alias("i"))
+    once = (F.col("l_root") == F.col("main")) | (F.col("l_doc_id") < F.col("r_doc_id"))
+    most = F.least(F.col("l_size") - F.col("l_place"), F.col("r_size") - F.col("r_place")) + 1
+    enough = most * (1 + similarity) >= (F.col("l_size") + F.col("r_size")) * similarity - 1e-9
+    keys = (left["gram"] == right["gram"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
+    met = left.join(right, keys & (F.col("l_root") != F.col("r_root")) & once & enough)
+    pair = F.min(F.struct(F.col("r_doc_id").alias("a"), F.col("l_doc_id").alias("b"))).alias("pair")
+    ends = [f(F.col("l_doc_id"), F.col("r_doc_id")).alias(c) for f, c in ((F.least, "low"), (F.greatest, "high"))]
+    return met.groupBy(*ends).agg(pair).select("pair.a", "pair.b")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 24, depth: int = 6) -> DataFrame:
     """(doc_id, class_id) of every document that isn't the first of its class.
 
@@ -191,9 +241,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     1 - (1 - s^depth)^bands: 0.999 at 0.8). A candidate is a link if the shingle
     sets prove the similarity. Members of a bucket are compared with its least
     one and, if that leaves them apart, with neighbours in an order that differs
-    from band to band, so the work is linear in the members. Equal texts are one
-    point from the start. Texts without words are alike. Rows with a null doc_id
-    or text belong to no class.
+    from band to band. The members of buckets that are then still in several
+    classes go through an exact join on their rarest shingles, so no link within
+    a bucket is missed. Equal texts are one point from the start. Texts without
+    words are alike. Rows with a null doc_id or text belong to no class.
     """
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(texts.mapInArrow(sketches(words, bands, depth), "doc_id long, copy binary, fp long, bands array<long>"), "sketches")
@@ -223,6 +274,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
         pairs = written(candidates.distinct(), "pairs")
         links = written(links.union(verified(pairs, sets, roots, similarity)), "links")
         roots = components(links)
+    rest = written(unsettled(members, roots), "unsettled")
+    if not rest.isEmpty():
+        pairs = written(prefix_pairs(rest, sets, similarity), "pairs")
+        links = written(links.union(verified(pairs, sets, roots, similarity)), "links")
+        roots = components(links)
     classed = written(
         copies.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
             "copy", "n", F.coalesce("root", "node").alias("class_id")

@@ -261,6 +261,37 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts)) if find(i) != i}
 
 
+def test_near_duplicates_in_boilerplate(spark):
+    """A thousand texts with the same long opening in pairs at 0.80 to 0.85: every pair within a mixed bucket is found."""
+    r = random.Random(5)
+    shared, texts = prose(700, 300), []
+    for _ in range(500):
+        body = [f"w{r.randrange(10**6)}" for _ in range(20)]
+        texts += [shared + " " + " ".join([*body, *(f"v{r.randrange(10**6)}" for _ in range(r.randrange(31, 39)))]) for _ in range(2)]
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 <= alike(a, a + 1) <= 0.85 for a in range(0, 1000, 2))
+    assert max(alike(a, b) for a in range(0, 1000, 7) for b in range(a + 2, 1000)) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.class_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(a + 1, a) for a in range(0, 1000, 2)]
+
+
+def test_prefix_pairs_lose_nothing(spark, monkeypatch):
+    """Small sets of few common shingles, against brute force, with a bound that splits every shingle's nodes."""
+    monkeypatch.setattr(simhash, "GROUP", 3)
+    r = random.Random(9)
+    sets = [sorted(r.sample(range(14), r.randrange(0, 12))) for _ in range(150)]
+    roots = [i if r.random() < 0.6 else i // 10 * 10 for i in range(150)]
+    nodes = spark.createDataFrame(list(enumerate(roots)), "node long, root long")
+    grams = spark.createDataFrame(list(enumerate(sets)), "doc_id long, grams array<long>")
+    got = [tuple(sorted(p)) for p in simhash.prefix_pairs(nodes, grams, 0.8).collect()]
+    assert len(got) == len(set(got)) and all(roots[a] != roots[b] for a, b in got)
+    both = lambda a, b: len({*sets[a]} & {*sets[b]})
+    want = {(a, b) for b in range(150) for a in range(b) if roots[a] != roots[b] and both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+    assert want <= set(got)
+
+
 def test_packing(docs, rows, none):
     from tokenizers import Tokenizer
 
