@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and zstandard novelty of strings in sensitive context.
 
-A candidate is a long unbroken string shortly after a sensitive word. What it
-adds to the compressed size of the code around it is measured with a compressor
+A candidate is a long unbroken string in a line with a sensitive word, in the
+line after it, or in the block of a private key. What it adds to the compressed size of the code around it is measured with a compressor
 primed by two dictionaries, of code and of identifiers: names, paths and prose
 are cheap there, random strings cost nearly their own entropy.
 """
@@ -25,10 +25,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "novel")
 
-#: A sensitive word, and within 24 characters of it an unbroken string of 16 or more.
+#: A sensitive word. Its line and the next one are context, whatever identifier the word stands in.
 SENSITIVE = re.compile(
-    r"(?:passw(?:or)?d|passphrase|pwd|secret|token|api_?key|private_?key|credential|bearer|authorization|auth_?key|signature|session_?id)"
-    r"[^\n]{0,24}?(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.ASCII | re.IGNORECASE)
+    r"passw(?:or)?d|pass[-_ ]?phrase|pwd|secret|token|(?:api|private|access|auth|signing|encryption)[-_ ]?key|credential|bearer"
+    r"|authori[sz]ation|signature|session[-_ ]?id", re.ASCII | re.IGNORECASE)
+#: A block of a private key is context as a whole.
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----.*?(?:-----END|\Z)", re.DOTALL)
+#: An unbroken string of 16 or more: all between two equal quotes, or a run without quotes, brackets, commas and semicolons.
+LONG = re.compile(r"([\"'`])((?:(?!\1)\S){16,})\1|[^\s\"'`<>(){}\[\],;]{16,}")
+#: The name and the sign before a value, in one run with it or not.
+NAMED = re.compile(r"[A-Za-z_][\w.-]*(?:=>|:=|[:=])", re.ASCII)
+NAME = re.compile(r"[A-Za-z_][\w.-]*[\"'`]?\s*[:=]", re.ASCII)
 
 CODE = (
     "import os sys json requests def class return self.config = get(\"\") if not None else for in range(len( "
@@ -65,14 +72,43 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def novel_spans(text: str, least: float, around: int = 200) -> list[tuple[int, int, str]]:
-    """Candidates whose novelty is ``least`` or more, with ``around`` characters of code on either side."""
-    out, at = [], 0
+def contexts(text: str) -> list[tuple[int, int]]:
+    """Where strings are measured: lines with a sensitive word and those after them, and key blocks; merged, in order."""
+    found = [m.span() for m in PEM.finditer(text)]
+    at = 0
     while m := SENSITIVE.search(text, at):
-        a, b = m.span(1)
-        if novelty(text[max(0, a - around):a], text[a:b], text[b:b + around]) >= least:
-            out.append((a, b, "novel"))
-        at = b
+        first = text.find("\n", m.end())
+        first = len(text) if first < 0 else first
+        second = text.find("\n", first + 1)
+        found.append((text.rfind("\n", 0, m.start()) + 1, len(text) if second < 0 else second))
+        at = first
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def novel_spans(text: str, least: float, around: int = 200) -> list[tuple[int, int, str]]:
+    """Long strings in context whose novelty is ``least`` or more, with ``around`` characters of code on either side.
+
+    Of a run with a name before its value, the value is measured first, then the whole run. Names with a sensitive word are
+    context themselves and not measured.
+    """
+    out = []
+    for low, high in contexts(text):
+        for m in LONG.finditer(text, low, high):
+            a, b = m.span(2) if m[1] else m.span()
+            if not m[1]:
+                b = a + len(text[a:b].rstrip(".:"))
+            named, name = NAMED.match(text, a, b), NAME.match(text, a, high)
+            context = name and SENSITIVE.search(text, a, min(b, name.end()))
+            for start in ([named.end()] if named else []) + ([] if context else [a]):
+                if b - start >= 16 and novelty(text[max(0, start - around):start], text[start:b], text[b:b + around]) >= least:
+                    out.append((start, b, "novel"))
+                    break
     return out
 
 

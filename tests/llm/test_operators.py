@@ -158,6 +158,19 @@ def test_secrets(docs, rows, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_secrets_in_wide_context():
+    key = "Zx9qLm2VbTr8KdPw3HsY7cNf"
+    for text in [
+        f"X-Api-Key: {key}", f"private-key: {key}", f"aws_secret_access_key_for_production = '{key}'", f'"api_key_of_the_payment_server": "{key}"',
+        f"client_secret:\n  {key}\n", f"a {key} is the token", "password: 'q7#Lz!v9$Xr.2Kp@w8&Tn'", "password: 'q7,Lz(v9;Xr)2Kp[w8]Tn'", f"token={key}",
+        f"-----BEGIN RSA PRIVATE KEY-----\nMIIE{key}\n{key[::-1]}x9\n{key.swapcase()}Q\n-----END RSA PRIVATE KEY-----",
+    ]:
+        got = [text[a:b] for a, b, _ in secrets.novel_spans(text, 0.6)]
+        assert len(got) == (3 if "BEGIN" in text else 1) and all(x in text and not set(x) & set(" \n'\"") for x in got), (text, got)
+    for text in [f"name: {key}", f"token\n\n\n{key}", "see the token in https://www.example.com/api/v1/users?id=", "secret_name: configuration_value_of_the_user"]:
+        assert not secrets.novel_spans(text, 0.6), text
+
+
 def test_line_dedup(docs, rows, none):
     seen: dict[tuple, tuple] = {}
     for i, t, *_ in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
