@@ -1,4 +1,4 @@
-"""What the operators share: tables written to the shared folder, and joins that split hot keys.
+"""What the operators share: written tables, joins that split hot keys, and partition functions that give memory back.
 
 Lineage is cut only with Parquet tables in the folder that ``spark.checkpoint.dir``
 names, so any executor can be lost at any time. A machine-local folder is used
@@ -8,13 +8,18 @@ only where that setting is absent, as in tests.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
-from collections.abc import Iterator
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than one part in HOT_PARTS of the counted rows,
@@ -23,6 +28,43 @@ HOT_PARTS = 1024
 #: Bytes of an Arrow batch at most, about; a worker holds a few such batches however long the texts of a table are.
 BATCH_BYTES = 8 << 20
 BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows of fixed-size columns (up to four longs) that ``met`` broadcasts at most: some 30 MB in an executor's hash table.
+BROADCAST_IDS = 500_000
+
+Batches = Iterable[pa.RecordBatch]
+
+#: What this Python worker keeps from task to task, all of it one operator's.
+_kept: dict[Hashable, Any] = {}
+
+
+def release() -> None:
+    """Give free memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, once for this worker; it goes as soon as a task of ``frugal`` with another owner (``key[0]``) runs here."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def frugal(owner: str, partition: Callable[[Batches], Iterator[pa.RecordBatch]]):
+    """``partition``, a function for mapInArrow, in a worker that holds nothing of other owners and ends with its memory freed."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _kept if k[0] != owner]:
+            del _kept[key]
+        try:
+            yield from partition(batches)
+        finally:
+            release()
+
+    return run
 
 
 def workspace(spark: SparkSession) -> str:
@@ -89,3 +131,35 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spre
     return joined.select(
         *rows.columns, *(F.coalesce(f"_hot_{c}", c).alias(c) for c in values)
     )
+
+
+def met(rows: DataFrame, ids: DataFrame, keys: list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with ``ids`` (a written table of fixed-size columns), on the map side where the ids are few enough."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, keys, how)
+
+
+def heavy_keys(keys: DataFrame, size: int = HOT_PARTS) -> DataFrame:
+    """(key): at most ``size`` longs, among them each that makes up more than one part in size + 1 of all.
+
+    ``keys`` has one column of arrays of longs. Misra-Gries summaries of the
+    partitions, merged; only they leave the map side.
+    """
+
+    def pruned(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, where = np.unique(k, return_inverse=True)
+        n = np.bincount(where, n, len(own)).astype(np.int64)
+        if len(own) > size:
+            n -= np.partition(n, -size - 1)[-size - 1]
+        return own[n > 0], n[n > 0]
+
+    def summary(batches: Batches) -> Iterator[pa.RecordBatch]:
+        k, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            more = batch.column(0).flatten().to_numpy()
+            k, n = pruned(np.concatenate([k, more]), np.concatenate([n, np.ones(len(more), np.int64)]))
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    made = keys.mapInArrow(frugal("heavy", summary), "key long, n long")
+    found = made.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size + 1).collect()
+    least = found[size].n if len(found) > size else 0
+    return keys.sparkSession.createDataFrame([(r.key,) for r in found[:size] if r.n > least], "key long")

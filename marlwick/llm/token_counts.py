@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal, kept
+
 CHUNK, OVERLAP = 16_384, 256
 SPACE = "▁"
 
@@ -92,15 +94,6 @@ class Counter:
         return counts
 
 
-_counters: dict[tuple, Counter] = {}
-
-
-def counter(path: str, chunk: int) -> Counter:
-    if (path, chunk) not in _counters:
-        _counters[path, chunk] = Counter(path, chunk)
-    return _counters[path, chunk]
-
-
 def count_tokens(documents: DataFrame, model: str, limit: int = 4096, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``documents`` (doc_id, text).
 
@@ -110,7 +103,7 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096, chunk: int
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model, chunk)
+        count = kept(("tokens", model, chunk), lambda: Counter(model, chunk))
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
@@ -121,4 +114,4 @@ def count_tokens(documents: DataFrame, model: str, limit: int = 4096, chunk: int
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal("tokens", rows), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
