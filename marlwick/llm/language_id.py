@@ -18,9 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import frugal, release
+
 ORDER = 4
 LEAD = b" " * ORDER
 #: Bytes that are scored at once; the arrays of a block take some eighty times as many.
@@ -190,22 +192,59 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(documents: DataFrame, per_language: int = 200, longest: int = 100_000) -> Model:
-    """A model of the rows (doc_id, text, lang) that aren't held out and have a text and a lang.
+def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (lang, place, text) the first row of each place in a partition."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        new = []
+        for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def training_rows(documents: DataFrame, per_language: int = 200, longest: int = 100_000, languages: int = 64, sample_bytes: int = 8 << 20) -> DataFrame:
+    """(lang, text): the bounded sample that a model is trained on, of the rows that aren't held out and have a text and a lang.
 
-    A bounded sample: of each language the ``per_language`` rows (at most 1000)
-    first by a hash of doc_id, of at most ``longest`` bytes each. Which rows
-    these are is settled on ids alone, of which each task keeps only its first ones.
+    It has the ``languages`` commonest languages (ties by name) at most; of each
+    the first ``per_language`` (at most 1000) different documents of up to
+    ``longest`` bytes, by a hash of doc_id, as far as the language's even share
+    of ``sample_bytes`` goes (the first one always). Which they are is settled
+    on ids, lengths and hashes alone, of which each task keeps only its first
+    ones. A document is a doc_id with a text; rows that repeat it count once in
+    the sample, but may take several of a language's places.
     """
-    usable = documents.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
-    usable = usable.select("doc_id", "lang", "text")
-    usable.select("doc_id", "lang").createOrReplaceTempView("_language_rows")
-    chosen = documents.sparkSession.sql(
-        f"SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY xxhash64(doc_id), doc_id) AS r FROM _language_rows) WHERE r <= {min(per_language, 1000)}"
-    ).select("doc_id", F.col("lang").alias("_lang"))
-    sample = usable.join(F.broadcast(chosen), (usable.doc_id == chosen.doc_id) & (usable.lang == F.col("_lang"))).select("lang", "text")
-    counts = sample.groupBy("lang").applyInPandas(count_grams, MODEL).toPandas()
-    return Model(counts)
+    usable = documents.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    common = [r.lang for r in common.collect()]
+    share = sample_bytes // max(1, len(common))
+    usable = usable.where(F.col("lang").isin(common) & (F.octet_length("text") <= longest))
+    ids = usable.select("doc_id", "lang", F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_hash"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text_hash")]
+    first = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= min(per_language, 1000))
+    chosen: dict[tuple, list] = {}
+    for r in first.collect():  # languages * per_language rows of fixed size at most
+        chosen.setdefault((r.lang, r.doc_id, r.text_hash), [r.place, r["size"]])
+    held: dict[str, int] = {}
+    rows = []
+    for (lang, doc_id, text_hash), (place, size) in sorted(chosen.items(), key=lambda x: (x[0][0], x[1][0])):
+        if lang not in held or held[lang] + size <= share:
+            rows.append((lang, doc_id, text_hash, place))
+            held[lang] = held.get(lang, 0) + size
+    picked = documents.sparkSession.createDataFrame(rows, "_lang string, _doc_id long, _text_hash long, place int")
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_hash"))
+    found = usable.join(F.broadcast(picked), same).select("lang", "place", "text").mapInArrow(frugal("language", once), "lang string, place int, text string")
+    # A text that was found by several tasks is still there once for each of them.
+    return found.dropDuplicates(["lang", "place"]).select("lang", "text")
+
+
+def train(documents: DataFrame, **options) -> Model:
+    """A model of ``training_rows``. Its statistics, of ``sample_bytes`` of text at most, are all that reaches the driver."""
+    counts = training_rows(documents, **options).groupBy("lang").applyInPandas(count_grams, MODEL).toPandas()
+    model = Model(counts)
+    del counts
+    release()
+    return model
 
 
 def identify(documents: DataFrame, model: Model, schema: str = "doc_id long, held_out boolean, lang_pred string, score double") -> DataFrame:
@@ -232,7 +271,7 @@ def identify(documents: DataFrame, model: Model, schema: str = "doc_id long, hel
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(rows, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(frugal("language", rows), schema)
 
 
 def language_id(documents: DataFrame, **options) -> DataFrame:
@@ -246,8 +285,14 @@ def language_id(documents: DataFrame, **options) -> DataFrame:
     return identify(documents, train(documents, **options))
 
 
-def drop_unknown(documents: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """The rows of ``documents``, columns as they were, in a known language with a score of ``least`` or more."""
+def drop_unknown(documents: DataFrame, least: float = 0.5, slack: float = 64, **options) -> DataFrame:
+    """The rows of ``documents``, columns as they were, in a known language with a score of ``least`` or more.
+
+    A text is in no known language if even its best one codes it in more bits
+    than it has as plain bytes, and ``slack`` bits more, so that a few odd words
+    don't decide. Texts that are null, empty or have no letter go; so does
+    everything where nothing could be learned.
+    """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(train(documents, **options))
 
@@ -261,10 +306,12 @@ def drop_unknown(documents: DataFrame, least: float = 0.5, **options) -> DataFra
             index = np.flatnonzero(kept)
             if len(index):
                 column = batch.column("text")
-                bits = model.bits([folded(column[int(i)].as_py()) for i in index])
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
-                for i, s in zip(index, share, strict=True):
-                    kept[i] = bool(s >= least)
+                texts = [folded(column[int(i)].as_py()) for i in index]
+                bits = model.bits(texts)
+                best = bits.min(axis=1)
+                share = 1 / np.exp2(-np.minimum(bits - best[:, None], 1000)).sum(axis=1)
+                for i, t, b, s in zip(index, texts, best, share, strict=True):
+                    kept[i] = bool(s >= least and b <= 8 * len(t) + slack)
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(frugal("language", keep), documents.schema)
