@@ -4,24 +4,40 @@ A test item of n characters may be met with ``rate * n`` edits. It is split into
 budget + 1 pieces, of which one at least must stand untouched in any such
 meeting. One Aho-Corasick automaton holds the pieces of a block of items; each
 hit names a window of the text, and windows of an item that overlap are merged
-and verified with Myers' bit-parallel distance. Items are the stated query set:
-they come in blocks of bounded size, each of which is one map-only pass over all
-documents.
+and verified with Myers' bit-parallel distance. Short items are met exactly, as
+whole words.
+
+Items are the stated query set and come in blocks of bounded size. A map-only
+pass over all documents walks up to PASS_BLOCKS blocks, one automaton after the
+other over the texts that a task holds; only a benchmark beyond that takes
+another pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import frugal, kept
+
 #: Characters of items that one block holds; the automaton of a block takes some hundred bytes for each.
 BLOCK_CHARS = 1 << 19
+#: Blocks of one pass, each a broadcast of bounded size, and characters of documents that a task walks with each of them in turn.
+PASS_BLOCKS, HOLD_CHARS = 64, 1 << 24
+#: Items of fewer characters are met as whole words, without an edit.
+SHORT = 20
 
 RESULT = "doc_id long, item_id long, distance int, start long, end long"
-_automata: dict[tuple, object] = {}
+Items = tuple[tuple[int, str], ...]
+
+
+def budget(item: str, rate: float) -> int:
+    """Edits that a meeting of the item may have."""
+    return int(rate * len(item)) if len(item) >= SHORT else 0
 
 
 def normalise(text: str | None) -> str:
@@ -29,9 +45,9 @@ def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def pieces(item: str, budget: int) -> list[tuple[int, str]]:
-    """budget + 1 pieces of nearly equal length, with their offsets."""
-    n = budget + 1
+def pieces(item: str, edits: int) -> list[tuple[int, str]]:
+    """edits + 1 pieces of nearly equal length, with their offsets."""
+    n = edits + 1
     cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -68,13 +84,13 @@ def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
     return best, end
 
 
-def automaton(items: tuple[tuple[int, str], ...], rate: float):
+def automaton(items: Items, rate: float):
     """The automaton of all pieces of the items, whose values are lists of (item index, offset in the item, piece length)."""
     import ahocorasick
 
     held: dict[str, list[tuple[int, int, int]]] = {}
     for k, (_, item) in enumerate(items):
-        for at, piece in pieces(item, int(rate * len(item))):
+        for at, piece in pieces(item, budget(item, rate)):
             held.setdefault(piece, []).append((k, at, len(piece)))
     built = ahocorasick.Automaton()
     for piece, uses in held.items():
@@ -83,14 +99,21 @@ def automaton(items: tuple[tuple[int, str], ...], rate: float):
     return built
 
 
-def windows(text: str, items: tuple[tuple[int, str], ...], rate: float, found) -> Iterator[tuple[int, int, int]]:
+def whole_word(text: str, at: int) -> bool:
+    """Whether no word of letters and digits goes on across this place."""
+    return at == 0 or at == len(text) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
+def windows(text: str, items: Items, rate: float, found) -> Iterator[tuple[int, int, int]]:
     """(item index, from, to): disjoint parts of the text that hold every place where the item can be met."""
     spans: dict[int, list[tuple[int, int]]] = {}
     for last, uses in found.iter(text):
         for k, at, size in uses:
             n = len(items[k][1])
-            slack = int(rate * n)
+            slack = budget(items[k][1], rate)
             begin = last + 1 - size - at
+            if n < SHORT and not (whole_word(text, begin) and whole_word(text, begin + n)):
+                continue
             spans.setdefault(k, []).append((max(0, begin - slack), min(len(text), begin + n + slack)))
     for k, parts in spans.items():
         parts.sort()
@@ -104,13 +127,13 @@ def windows(text: str, items: tuple[tuple[int, str], ...], rate: float, found) -
         yield k, a, b
 
 
-def meetings(text: str, items: tuple[tuple[int, str], ...], rate: float, found) -> Iterator[tuple[int, int, int, int]]:
+def meetings(text: str, items: Items, rate: float, found) -> Iterator[tuple[int, int, int, int]]:
     """(item index, distance, start, end) of the best meeting of each item in the normalised text."""
     best: dict[int, tuple[int, int]] = {}
     for k, a, b in windows(text, items, rate, found):
         item = items[k][1]
         distance, end = myers(item, text[a:b])
-        if distance <= int(rate * len(item)):
+        if distance <= budget(item, rate):
             best[k] = min(best.get(k, (len(item) + 1, 0)), (distance, a + end))
     for k, (distance, end) in best.items():
         item = items[k][1]
@@ -119,75 +142,101 @@ def meetings(text: str, items: tuple[tuple[int, str], ...], rate: float, found)
         yield k, distance, end - size, end
 
 
-def matcher(items: tuple[tuple[int, str], ...], rate: float):
-    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (items, rate)
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton(items, rate)
-        found = _automata[key]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                whole = normalise(text.as_py())
-                rows += [(doc, items[k][0], distance, a, b) for k, distance, a, b in meetings(whole, items, rate, found)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    return match
+def in_pass(blocks: list, rate: float, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int, int]]]]]:
+    """Each batch, whose texts are in its column ``text``, with the meetings of every text: (item_id, distance, start, end).
 
-
-def item_blocks(benchmark: DataFrame, shortest: int, block_chars: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    ``blocks`` are broadcast Items. Texts are held up to HOLD_CHARS, so that an automaton is made once for each such
+    lot; the automaton of a single block is kept by the worker.
+    """
+    held: list[tuple[pa.RecordBatch, list[str]]] = []
+    size = 0
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            texts = [normalise(t.as_py()) for t in batch.column("text")]
+            held.append((batch, texts))
+            size += sum(map(len, texts))
+        if not held or (batch is not None and len(blocks) > 1 and size < HOLD_CHARS):
+            continue
+        found: list[list[list]] = [[[] for _ in texts] for _, texts in held]
+        for shared in blocks:
+            items = shared.value
+            make = lambda: automaton(items, rate)  # noqa: B023, E731
+            walk = kept(("decontaminate", items, rate), make) if len(blocks) == 1 else make()
+            for (_, texts), rows in zip(held, found, strict=True):
+                for text, row in zip(texts, rows, strict=True):
+                    row += [(items[k][0], *rest) for k, *rest in meetings(text, items, rate, walk)]
+        yield from zip((b for b, _ in held), found, strict=True)
+        held, size = [], 0
+
+
+def item_blocks(benchmark: DataFrame, shortest: int, block_chars: int) -> Iterator[Items]:
     """The items in blocks, one at a time on the driver."""
     block: list[tuple[int, str]] = []
-    held = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
+    size = 0
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         text = normalise(row.text)
-        if len(text) >= shortest:
+        if text and len(text) >= shortest:
             block.append((row.item_id, text))
-            held += len(text)
-        if held >= block_chars:
+            size += len(text)
+        if size >= block_chars:
             yield tuple(block)
-            block, held = [], 0
+            block, size = [], 0
     if block:
         yield tuple(block)
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def passes(benchmark: DataFrame, shortest: int, block_chars: int) -> Iterator[list]:
+    """Broadcast blocks, as many as one pass takes at a time."""
+    context = benchmark.sparkSession.sparkContext
+    blocks = item_blocks(benchmark, shortest, block_chars)
+    while part := [context.broadcast(block) for block in islice(blocks, PASS_BLOCKS)]:
+        yield part
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Pairs of a document and a test item met in it: doc_id, item_id, distance, start, end.
 
     ``documents`` (doc_id, text) and ``benchmark`` (item_id, text) are compared in
     lower case with runs of white space as one space; start and end are places
     in that form of the text, of the first meeting with the least distance.
-    Documents without a leak have no row. Null or empty texts hold and leak
-    nothing; items of under ``shortest`` characters prove nothing and are left
-    out. Repeated rows and items are reported each; other columns aren't read.
+    Items of under SHORT characters are met without an edit and as whole words;
+    those of under ``shortest`` are left out (by default none). Documents without
+    a leak have no row. Null or empty texts hold and leak nothing. Repeated rows
+    and items are reported each; other columns aren't read.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") > 0)
-    found = None
-    for block in item_blocks(benchmark, shortest, block_chars):
-        part = texts.mapInArrow(matcher(block, rate), RESULT)
-        found = part if found is None else found.unionByName(part)
-    return documents.sparkSession.createDataFrame([], RESULT) if found is None else found
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def matcher(blocks):
+        def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found in in_pass(blocks, rate, batches):
+                rows = [(doc, *x) for doc, own in zip(batch.column("doc_id").to_pylist(), found, strict=True) for x in own]
+                columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        return match
+
+    out = None
+    for blocks in passes(benchmark, shortest, block_chars):
+        part = texts.mapInArrow(frugal("decontaminate", matcher(blocks)), RESULT)
+        out = part if out is None else out.unionByName(part)
+    return documents.sparkSession.createDataFrame([], RESULT) if out is None else out
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 20) -> DataFrame:
-    """The rows of ``documents``, all columns as they were, that hold no test item.
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = 0.08, shortest: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``documents``, all columns as they were, that hold no test item as ``find_leaks`` meets them.
 
-    One map-only pass for each block of items, as a filter. Rows with a null text stay.
+    A map-only filter. Rows with a null text stay.
     """
 
-    def keeper(items):
+    def keeper(blocks):
         def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = automaton(items, rate)
-            for batch in batches:
-                clean = [next(meetings(normalise(t.as_py()), items, rate, found), None) is None for t in batch.column("text")]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            for batch, found in in_pass(blocks, rate, batches):
+                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         return keep
 
     out = documents
-    for block in item_blocks(benchmark, shortest, BLOCK_CHARS):
-        out = out.mapInArrow(keeper(block), documents.schema)
+    for blocks in passes(benchmark, shortest, block_chars):
+        out = out.mapInArrow(frugal("decontaminate", keeper(blocks)), documents.schema)
     return out
