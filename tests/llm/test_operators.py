@@ -117,7 +117,7 @@ def distance(pattern: str, text: str) -> int:
     return best
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     r = random.Random(5)
     item = "the quick brown fox jumps over the lazy dog and then sleeps for a very long while"
     texts = [None, "", "nothing here", item, "Before. " + item.upper().replace(" ", "\n ") + " after"]
@@ -126,8 +126,10 @@ def test_decontamination(spark):
         for k in r.sample(range(len(t)), edits):
             t[k] = r.choice("xyz")
         texts.append("some words " + "".join(t) + " more words " * 50)
+    long = prose(17, 30_000)
+    texts += [long, long + " " + item[:40] + item[41:] + " " + long]
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(texts)], "doc_id long, text string, distance int")
-    items = spark.createDataFrame([(7, item, 0), (8, None, 0), (9, "short", 0), (7, item, 0)], "item_id long, text string, doc_id long")
+    items = spark.createDataFrame([(7, item, 0), (8, None, 0), (10, " ", 0), (7, item, 0)], "item_id long, text string, doc_id long")
     want = {i for i, t in enumerate(texts) if distance(item, decontaminate.normalise(t)) <= int(0.08 * len(item))}
     got = decontaminate.find_leaks(docs, items).collect()
     assert {x.doc_id for x in got} == want and len(got) == 2 * len(want)
@@ -136,10 +138,23 @@ def test_decontamination(spark):
         assert x.distance == distance(item, whole)
         assert distance(whole[x.start:x.end], item) <= x.distance
     assert {x.doc_id for x in decontaminate.drop_contaminated(docs, items).collect()} == set(range(len(texts))) - want
-    assert decontaminate.find_leaks(docs, items, block_chars=10).count() == len(got)
+    assert sorted(decontaminate.find_leaks(docs, items, block_chars=10).collect()) == sorted(got)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 1)
+    assert sorted(decontaminate.find_leaks(docs, items, block_chars=10).collect()) == sorted(got)
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs, items, block_chars=10).collect()} == set(range(len(texts))) - want
     assert decontaminate.find_leaks(docs, items.limit(0)).count() == decontaminate.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_short_items_are_met_as_whole_words(spark):
+    texts = ["Paris is it", "comparison", "in paris, 1889", "it is paris", "pariss", "a b", "a, b", None, "a  B"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Paris"), (2, "a b"), (3, "")], "item_id long, text string")
+    got = {(x.item_id, x.doc_id, x.distance) for x in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(1, 0, 0), (1, 2, 0), (1, 3, 0), (2, 5, 0), (2, 8, 0)}
+    assert decontaminate.find_leaks(docs, items, shortest=20).isEmpty()
+    assert {x.doc_id for x in decontaminate.drop_contaminated(docs, items).collect()} == {1, 4, 6, 7}
+
+
 def test_secrets(docs, rows, none):
     import re
 
@@ -171,28 +186,47 @@ def test_secrets_in_wide_context():
         assert not secrets.novel_spans(text, 0.6), text
 
 
-def test_line_dedup(docs, rows, none):
+def brute_lines(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, text, n_removed) of (doc_id, text): windows go at all places but the first, by doc_id, the text's hash and line."""
+    order = {t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63 & 2**31 - 1 for _, t in rows if t is not None}
     seen: dict[tuple, tuple] = {}
-    for i, t, *_ in sorted((x for x in rows if x[0] is not None and x[1] is not None), key=lambda x: x[0]):
-        lines = t.split("\n")
+    for i, t in rows:
+        lines = (t or "").split("\n")
         for k in range(len(lines) - 2):
-            if any(x.strip(" ") for x in lines[k:k + 3]):
-                w = tuple(lines[k:k + 3])
-                seen[w] = min(seen.get(w, (i, k)), (i, k))
-    got = {}
-    for r in line_dedup.dedup_lines(docs).collect():
-        got.setdefault((r.doc_id, r.n_removed), r.text)
-    for i, t, *_ in rows:
+            w = tuple(lines[k:k + 3])
+            if i is not None and any(x.strip(" ") for x in w):
+                seen[w] = min(seen.get(w, (i, order[t], k)), (i, order[t], k))
+    out = []
+    for i, t in rows:
         lines, gone = (t or "").split("\n"), set()
         if i is not None and t is not None:
             for k in range(len(lines) - 2):
-                if seen.get(tuple(lines[k:k + 3]), (i, k)) < (i, k):
+                if seen.get(tuple(lines[k:k + 3]), (i, order[t], k)) < (i, order[t], k):
                     gone |= {k, k + 1, k + 2}
-        text = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t
-        assert got[i, len(gone)] == text
+        out.append((str(i), "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(gone)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup(docs, rows, none):
+    got = [(str(r.doc_id), r.text, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(got, key=str) == brute_lines([(i, t) for i, t, *_ in rows])
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_with_repeated_ids(spark, monkeypatch):
+    """Different texts with one doc_id are documents of their own, and rows of one document are split."""
+    monkeypatch.setattr(line_dedup, "GROUP", 7)
+    by_lines = lambda x: x.replace(" ", "\n")
+    r = random.Random(4)
+    rows = [(0, by_lines("p q r")), (1, by_lines("x y z")), (1, by_lines("p q r")), (1, by_lines("p q r")), (2, by_lines("x y z p q r"))]
+    rows += [(r.randrange(5, 9), by_lines(" ".join(r.choice("abc") for _ in range(r.randrange(9))))) for _ in range(60)]
+    rows += [(4, by_lines("a b c x y z q"))] * 10_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(str(x.doc_id), x.text, x.n_removed) for x in line_dedup.dedup_lines(docs).collect()]
+    assert sorted(got, key=str) == brute_lines(rows)
+    assert sum(t == by_lines("x y z") for _, t, _ in got) == 1
+
+
 def brute_print(t, n=3):
     w = (t or "").encode().lower().split()
     s = [b" ".join(w[i:i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
@@ -225,10 +259,10 @@ def test_simhash(docs, rows, none):
 def test_ball_links_and_chains(spark):
     """A chain of fingerprints two bits apart is one component; three bits apart is none."""
     fps = [0, 3, 15, 63, 255, 1 << 40, (1 << 40) | 7 << 50]
-    points = spark.createDataFrame([(0, f, f) for f in fps], "space int, fp long, node long")
+    points = spark.createDataFrame([(f,) for f in fps], "fp long")
     from marlwick.llm.components import components
 
-    roots = {r.node: r.root for r in components(simhash.ball_links(points, 64)).collect()}
+    roots = {r.node: r.root for r in components(simhash.ball_links(points)).collect()}
     assert roots == {0: 0, 3: 0, 15: 0, 63: 0, 255: 0, **({1 << 40: 0} if (1 << 40).bit_count() <= 2 else {})}
 
 
@@ -242,6 +276,54 @@ def test_near_duplicates(spark, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Different texts with one doc_id are documents of their own."""
+    base, other = prose(7, 400), prose(8, 400)
+    near = base.replace(base.split()[200], "changed", 1)
+    rows = [(1, base), (1, other), (1, other), (2, near), (2, prose(9, 300)), (3, other), (None, base), (4, None), *[(5, prose(9, 300))] * 3, (6, prose(10, 300)), (6, prose(10, 299))]
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, text_hash int")
+    kept = [(str(x.doc_id), x.text) for x in simhash.drop_near_duplicates(docs).collect()]
+    want = [(1, base), (1, other), (1, other), (2, prose(9, 300)), (None, base), (4, None)]
+    want = sorted((str(i), t or "") for i, t in want)
+    rest = [x for x in kept if x[0] == "6"]
+    assert sorted((i, t or "") for i, t in kept if i != "6") == want and len(rest) == 1
+
+
+def test_large_buckets_are_cut(spark, monkeypatch):
+    """A bucket of many members is dealt over parts, and its members are one class all the same."""
+    monkeypatch.setattr(simhash, "GROUP", 8)
+    texts = [prose(3, 200) + f" end{i}" for i in range(120)] + [prose(50 + i, 60) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    members = simhash.bucket_members(spark.createDataFrame([(i, [7, 7 + i]) for i in range(1, 100)] + [(200, [5]), (201, [5]), (202, [9_999])], "node long, keys array<long>"))
+    rows = members.collect()
+    assert {x.node for x in rows if x.key == 7} == set(range(1, 100)) and len({x.salt for x in rows if x.key == 7}) > 5
+    assert {(x.node, x.n, x["head"], x.salt) for x in rows if x.key == 5} == {(200, 2, 200, 0), (201, 2, 200, 0)} and not any(x.key == 9_999 for x in rows)
+    got = {x.doc_id: x.class_id for x in simhash.near_duplicates(docs).collect()}
+    assert got == {i: 0 for i in range(1, 120)}
+
+
+def test_sketches_rule_out_no_pair(spark):
+    """Pairs on either side of the similarity: none at it or above is ruled out, and distant ones are."""
+    import pyarrow as pa
+
+    r = random.Random(2)
+    texts = []
+    for k in range(300):
+        w = prose(1000 + k, 150).split()
+        new = list(w)
+        for at in r.sample(range(5, 145), k % 12):
+            new[at] = f"new{r.random()}"
+        texts += [" ".join(w), " ".join(new)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(range(600)), pa.array(texts)], names=["a", "b", "c"])
+    planes = next(simhash.sketches(5, 24, 6)([batch])).column("planes").to_pylist()
+    pairs = spark.createDataFrame([(i, planes[2 * i], planes[2 * i + 1]) for i in range(300)] + [(-1 - i, planes[2 * i], planes[2 * i + 2]) for i in range(299)], "k long, a array<long>, b array<long>")
+    passed = {x.k for x in pairs.where(simhash.alike("a", "b", 144, 0.8)).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    alike = [len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(300)]
+    assert {i for i, x in enumerate(alike) if x >= 0.8} <= passed and not any(k < 0 for k in passed)
+    assert not any(alike[k] < 0.4 for k in passed)
+
+
 def test_near_duplicates_against_brute_force(spark):
     """Texts close to the similarity on either side, and one large group that shares its first half with others."""
     r = random.Random(11)
@@ -297,7 +379,7 @@ def test_prefix_pairs_lose_nothing(spark, monkeypatch):
     sets = [sorted(r.sample(range(14), r.randrange(0, 12))) for _ in range(150)]
     roots = [i if r.random() < 0.6 else i // 10 * 10 for i in range(150)]
     nodes = spark.createDataFrame(list(enumerate(roots)), "node long, root long")
-    grams = spark.createDataFrame(list(enumerate(sets)), "doc_id long, grams array<long>")
+    grams = spark.createDataFrame(list(enumerate(sets)), "node long, grams array<long>")
     got = [tuple(sorted(p)) for p in simhash.prefix_pairs(nodes, grams, 0.8).collect()]
     assert len(got) == len(set(got)) and all(roots[a] != roots[b] for a, b in got)
     both = lambda a, b: len({*sets[a]} & {*sets[b]})
@@ -397,6 +479,32 @@ def test_language_id(spark, none):
     assert [r.lang_pred for r in alone.collect()] == ["und"]
 
 
+def test_drop_unknown(spark):
+    """Stays what a learned language codes: not null, empty and letterless texts, unlearned scripts or random letters."""
+    r = random.Random(6)
+    en, de = "the cat and the dog this is what they said to them ", "der hund und die katze das ist was sie ihnen sagten "
+    train = [(1000 + i, (en, de)[i % 2] * 3, ("en", "de")[i % 2]) for i in range(100)]
+    good = ["the dog and the cat", "das ist die katze", "what they said", "they", en * 4000, "x the cat and the dog said this to them"]
+    bad = [None, "", "12 34!", " \n", "".join(r.choice("bcfgjklmpqvwxyz") for _ in range(400)), "это другой язык, которого никто не учил", "这是另一种语言" * 3]
+    docs = spark.createDataFrame([*train, *((i, t, None) for i, t in enumerate(good + bad)), (None, en, "en"), (3, good[3], None)], "doc_id long, text string, lang string")
+    got = sorted(str(x.doc_id) for x in language_id.drop_unknown(docs).where("doc_id < 1000 OR doc_id IS NULL").collect())
+    assert got == sorted([*(str(i) for i in range(len(good))), "3", "None"])
+    assert language_id.drop_unknown(docs.where("lang IS NULL")).isEmpty() and language_id.drop_unknown(docs.limit(0)).isEmpty()
+
+
+def test_training_sample_is_bounded(spark):
+    """Repeated rows and many languages don't make the sample larger; it is the same however the rows are dealt."""
+    rows = [(7, "hello", "en")] * 10_000 + [(i, f"text {i}", "en") for i in range(300)] + [(i, "bonjour", f"l{i % 90:02}") for i in range(1000, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_rows(docs.repartition(7)).collect()
+    per = {k: [x.text for x in got if x.lang == k] for k in {x.lang for x in got}}
+    assert len(per) == 64 and "en" in per and all(len(v) <= 200 for v in per.values()) and per["en"].count("hello") <= 1
+    again = language_id.training_rows(docs.repartition(2)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    few = language_id.training_rows(docs, sample_bytes=640).collect()
+    assert all(sum(len(x.text) for x in few if x.lang == k) <= 10 for k in per) and {x.lang for x in few} == set(per)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.language_id(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
