@@ -11,6 +11,7 @@ chain through it keeps every connection that all of its pairs would give.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -30,6 +31,8 @@ GROUP = 1024
 #: Low bits of every least hash that a sketch keeps, and how many of such values must agree in a pair, in standard
 #: deviations below what is expected at the similarity asked for. At six, one true pair in 10^7 or so would go.
 PLANES, DEVIATIONS = 4, 6
+#: Slots in which shingles are counted to put them in order; their counts are all that the driver gets and broadcasts.
+SLOTS = 1 << 18
 
 
 def shingles(text: str, words: int) -> Iterator[list[bytes]]:
@@ -234,27 +237,55 @@ def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return attach(known.select("key", "node", "root"), mixed, ["key"], "n", ["node"]).where("mixed").select("node", "root").distinct()
 
 
+def gram_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n) of a partition's (grams, ...): how many grams fall on each of SLOTS slots."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column("grams").flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
+
+
+def prefixes(shared, similarity: float):
+    """(gram, node, root, size, place) of (node, root, grams): the first size - ceil(similarity * size) + 1 grams, from the rarest slots on."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            found, sizes = [], []
+            for value in batch.column("grams"):
+                grams = value.values.to_numpy() if len(value) else np.zeros(1, np.int64)
+                sizes.append(len(grams))
+                most = len(grams) - math.ceil(len(grams) * similarity - 1e-9) + 1
+                found.append(grams[np.lexsort((grams, counts[grams & (SLOTS - 1)]))[:most]])
+            taken = [len(x) for x in found]
+            place = np.concatenate([np.arange(1, n + 1) for n in taken] or [np.zeros(0, np.int64)])
+            each = lambda x: pa.array(np.repeat(np.asarray(x, np.int64), taken))  # noqa: B023, E731
+            grams = pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))
+            columns = [grams, each(batch.column("node").to_numpy()), each(batch.column("root").to_numpy()), each(sizes), pa.array(place)]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "node", "root", "size", "place"])
+
+    return rows
+
+
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b): every pair of ``nodes`` (node, root) with different roots whose ``sets`` can reach the similarity.
 
-    Shingles are put in order from the rarest among the nodes to the commonest.
-    Two sets that reach the similarity share one of their first
+    Shingles are put in one order for all sets, in about that from the rarest
+    among the nodes to the commonest: by the count of their slot, of which there
+    are SLOTS. Two sets that reach the similarity share one of their first
     size - ceil(similarity * size) + 1 shingles, and behind the first that they
-    share there must be enough left for the rest; so nothing is lost. A shingle
-    that many nodes have early is split on both sides. Nodes of its largest
-    class meet the others only, so the rows that come out are pairs still apart.
-    Empty sets count as having one shingle, 0.
+    share there must be enough left for the rest; so nothing is lost, whatever
+    the order. A shingle that many nodes have early is split on both sides.
+    Nodes of its largest class meet the others only, so the rows that come out
+    are pairs still apart. Empty sets count as having one shingle, 0.
     """
-    own = met(sets, nodes, ["node"]).select(
-        "node", "root", F.greatest(F.size("grams"), F.lit(1)).alias("size"),
-        F.explode(F.when(F.size("grams") > 0, F.col("grams")).otherwise(F.array(F.lit(0).cast("long")))).alias("gram"),
-    )
-    shared = written(own.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    ranked = attach(own, shared, ["gram"], "n", ["node"]).where("n IS NOT NULL")
-    mine = Window.partitionBy("node")
-    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "gram"))
-    early = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
-    early = written(early.select("gram", "node", "root", "size", "place"), "early")
+    own = written(met(sets, nodes, ["node"]).select("node", "root", "grams"), "own")
+    slots = own.select("grams").mapInArrow(frugal("sets", gram_counts), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy(np.int64)] = slots["n"]
+    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+    early = written(own.mapInArrow(frugal("sets", prefixes(shared, similarity)), "gram long, node long, root long, size long, place long"), "early")
     held = early.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n"))
     held = held.groupBy("gram").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
     held = written(held.where("n > most"), "held")
