@@ -8,7 +8,6 @@ tables (one join or filter each), never row by row on the driver.
 from __future__ import annotations
 
 import copy
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +23,7 @@ from .operators import fts
 from .plans.statements import StatementParser
 from .plans.syntax import Parser, Select
 from .plans.translate import Scope, Translator, spark_type
+from .session import workspace
 from .sources.store import ROWID, Column, State, Store, Table
 from .streaming import ivm
 
@@ -51,10 +51,11 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, clock: Callable[[], float] = time.time):
         self.spark = spark
         scalar.register(spark)
-        self.store = Store(spark, root or tempfile.mkdtemp(prefix="marlwick-db-"), clock)
+        self.store = Store(spark, root or workspace(spark, "marlwick-db"), clock)
         self.prefix = f"db_{uuid.uuid4().hex[:8]}_"
         self.external: dict[str, DataFrame] = {}
         self.attached: dict[str, Engine] = {}
+        self.active = "main"  # the database that statements go to
         self.hooks: list[tuple[str, str, str, Callable[[DataFrame], None]]] = []
         self.callbacks: dict[str, list[Callable[[DataFrame], None]]] = {}
         self.counters = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
@@ -115,6 +116,8 @@ class Engine:
     def query(self, sql: str, *args, **named) -> DataFrame:
         """The rows of a SELECT or WITH, an EXPLAIN or a PRAGMA, as a lazy DataFrame."""
         st = StatementParser(sql).statement()
+        if other := self._elsewhere(st):
+            return other.query(sql, *args, **named)
         if st["kind"] == "pragma":
             return self.pragma(st)
         if st["kind"] == "explain":
@@ -125,6 +128,11 @@ class Engine:
         found = fts.matched(self, st["sql"], params)
         return found if found is not None else self._run(st["sql"], self.store.state, params)
 
+    def _elsewhere(self, st: dict) -> Engine | None:
+        """The attached database that a statement goes to; what is about databases as such stays here."""
+        about = st["kind"] in ("attach", "detach") or st["kind"] == "pragma" and st["name"] in ("active_database", "database_list")
+        return None if about else self.attached.get(self.active)
+
     def rows(self, sql: str, *args, **named) -> Iterator[Row]:
         """Pull rows one partition at a time."""
         return self.query(sql, *args, **named).toLocalIterator()
@@ -179,10 +187,14 @@ class Engine:
         if name == "database_list":
             return make([(i, n) for i, n in enumerate(["main", *self.attached])], "seq int, name string")
         if name in ("integrity_check", "not_null_check"):
-            bad = [f"{n}: {m}" for n in state.tables for m in self.violations(n, self.store.rows(n), whole=True)]
+            bad = [f"{n}: {m}" for n in state.tables for m in self.violations(n, self.store.rows(n))]
             return make([(x,) for x in bad or ["ok"]], f"{name} string")
         if name == "active_database":
-            return make([("main",)], "active_database string")
+            if wanted := st.get("value") or st.get("arg"):
+                if wanted != "main" and wanted not in self.attached:
+                    raise DialectError(f"no such database: {wanted}")
+                self.active = wanted
+            return make([(self.active,)], "active_database string")
         if name == "not_null_repair":
             return make([(n,) for n in self.repair_nulls()], "removed long")
         value, default = st.get("value"), PRAGMAS.get(name)
@@ -216,6 +228,8 @@ class Engine:
     # -- statements
     def execute(self, sql: str, *args, **named) -> Change:
         st = StatementParser(sql).statement()
+        if other := self._elsewhere(st):
+            return other.execute(sql, *args, **named)
         params = {i + 1: v for i, v in enumerate(args)} | named
         run = getattr(self, f"_do_{st['kind']}", None)
         if run is None:
@@ -271,14 +285,20 @@ class Engine:
         self.store.rollback_to(st["name"])
 
     def _do_vacuum(self, st, params):
+        """One part for each table; what earlier statements staged goes, and with it the rows they returned."""
         self.store.compact()
+        self.store.fs.delete(self.store.fs_path(f"{self.store.root}/_staged"), True)
 
     def _do_attach(self, st, params):
+        if st["name"] == "main" or st["name"] in self.attached:
+            raise DialectError(f"{st['name']} is there already")
         self.attached[st["name"]] = Engine(self.spark, st["path"])
 
     def _do_detach(self, st, params):
         if self.attached.pop(st["name"], None) is None:
             raise DialectError(f"no such database: {st['name']}")
+        if self.active == st["name"]:
+            self.active = "main"
 
     def _do_pragma(self, st, params):
         self.pragma(st)
@@ -324,7 +344,7 @@ class Engine:
                 return
             raise DialectError(f"{st['name']} exists")
         t.indexes[st["name"]] = {"exprs": st["exprs"], "unique": st["unique"], "where": st["where"]}
-        if bad := self.violations(st["table"], self.store.rows(st["table"]), whole=True):
+        if bad := self.violations(st["table"], self.store.rows(st["table"])):
             del t.indexes[st["name"]]
             raise DialectError(bad[0])
         self.store.changed()
@@ -400,8 +420,28 @@ class Engine:
         node = Parser(text).expr() if isinstance(text, str) else text
         return F.expr(Translator(lambda n: None, params).test(node, Scope({alias: self._types(t)})))
 
-    def violations(self, name: str, rows: DataFrame, whole: bool = False) -> list[str]:
-        """Broken constraints among ``rows``; keys are compared with the table too unless the rows are the whole."""
+    def _uniques(self, t: Table) -> list[tuple[Column, str]]:
+        """For each unique key and index the value that is unique, of a row aliased t, and its name.
+
+        The value is null in rows that are like no other: with a null in the key, or not in a partial index.
+        """
+        types = {"t": self._types(t)}
+        keys = [([F.col(f"t.`{k}`") for k in key], None, ", ".join(key)) for key in t.keys]
+        keys += [([self._value(e, {}, types) for e in x["exprs"]], x["where"], ", ".join(x["exprs"])) for x in t.indexes.values() if x["unique"]]
+        out = []
+        for exprs, where, what in keys:
+            fits = F.coalesce(self._test(where, t, {}), F.lit(False)) if where else F.lit(True)
+            for e in exprs:
+                fits = fits & e.isNotNull()
+            value = exprs[0] if len(exprs) == 1 else F.struct(*(e.alias(f"k{i}") for i, e in enumerate(exprs)))
+            out.append((F.when(fits, value), what))
+        return out
+
+    def violations(self, name: str, rows: DataFrame, rest: DataFrame | None = None) -> list[str]:
+        """Broken constraints among ``rows`` of a table, and of keys between them and the ``rest`` of it.
+
+        The rest is only joined with the rows' keys, which Spark broadcasts while they are small.
+        """
         t, out = self.store.state.tables[name], []
         rows = rows.alias("t")
         tests = [(F.col(f"t.`{c.name}`").isNull(), f"{c.name} is null") for c in t.columns if c.not_null and not (c.key and c.type == "int" and len(t.keys[0]) == 1)]
@@ -410,18 +450,19 @@ class Engine:
         if tests:
             broken = rows.agg(*(F.max(F.coalesce(x, F.lit(False))).alias(f"b{i}") for i, (x, _) in enumerate(tests))).first()
             out += [what for b, (_, what) in zip(broken, tests, strict=True) if b]
-        unique = [([F.col(f"t.`{k}`") for k in key], None, ", ".join(key)) for key in t.keys]
-        unique += [([self._value(e, {}, {"t": self._types(t)}) for e in x["exprs"]], x["where"], ", ".join(x["exprs"])) for x in t.indexes.values() if x["unique"]]
-        everything = rows if whole else self.store.rows(name).unionByName(rows.select("t.*")).alias("t")
-        for exprs, where, what in unique:
-            part = everything.where(self._test(where, t, {})) if where else everything
-            part = part.where(~F.greatest(*(e.isNull() for e in exprs), F.lit(False)))
-            if not part.groupBy(*exprs).count().where("count > 1").isEmpty():
+        for value, what in self._uniques(t):
+            keys = rows.select(value.alias("_k")).where("_k IS NOT NULL")
+            twice = keys.groupBy("_k").count().where("count > 1").select("_k")
+            if rest is not None:
+                twice = twice.unionAll(rest.alias("t").select(value.alias("_k")).join(keys, "_k", "left_semi"))
+            if not twice.isEmpty():
                 out.append(f"UNIQUE {what}")
         if self.store.state.pragmas.get("foreign_keys", "1").lower() not in ("0", "off"):
             for c in t.columns:
                 if c.references:
                     parent = self.store.rows(c.references[0])
+                    if c.references[0] == name and rest is not None:
+                        parent = rest.unionByName(rows.select("t.*"))
                     key = c.references[1] or self.store.state.tables[c.references[0]].keys[0][0]
                     if not rows.where(F.col(f"t.`{c.name}`").isNotNull()).join(parent.alias("p"), F.col(f"t.`{c.name}`") == F.col(f"p.`{key}`"), "left_anti").isEmpty():
                         out.append(f"FOREIGN KEY {c.name}")
@@ -499,58 +540,137 @@ class Engine:
         return places.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(ROWID, F.col("_start") + at).drop("_part", "_start")
 
     def _insert(self, name: str, t: Table, df: DataFrame, st: dict, params: dict) -> Change:
-        df = self._numbered(self._finish(df, t), t.next_rowid)
-        own = t.keys[0][0] if t.keys and len(t.keys[0]) == 1 and next(c for c in t.columns if c.name == t.keys[0][0]).type == "int" else None
+        df = self._numbered(self._finish(df, t), t.next_rowid).withColumn("_place", F.col(ROWID))
+        own = next((c.name for c in t.columns if c.key and c.type == "int" and t.keys[:1] == [[c.name]]), None)
         if own:  # an integer key that isn't given is the row id
             df = df.withColumn(own, F.coalesce(F.col(own), F.col(ROWID))).withColumn(ROWID, F.col(own))
-        last = df.agg(F.max(ROWID).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        replaced = None
+        rest, gone = self.store.rows(name), None
         if st["how"] == "IGNORE":
-            for c in t.columns:
-                df = df.where(F.col(c.name).isNotNull()) if c.not_null else df
-            for key in t.keys:  # a key with a null is like no other
-                first = df.groupBy(*key).agg(F.min(ROWID).alias("_first"))
-                df = df.join(first, key, "left").where(F.col(ROWID) == F.coalesce("_first", ROWID)).drop("_first") if key != [own] else df.dropDuplicates(key)
-                df = df.join(self.store.rows(name).select(*key), key, "left_anti")
-            df = self._fixed(df)
+            df = self._first_come(name, t, df.dropna(subset=[c.name for c in t.columns if c.not_null]) if any(c.not_null for c in t.columns) else df)
         elif st["how"] == "REPLACE":
-            old = self.store.rows(name)
-            for key in t.keys:
-                newest = df.groupBy(*key).agg(F.max(ROWID).alias("_last"))
-                df = df.join(newest, key, "left").where(F.col(ROWID) == F.coalesce("_last", ROWID)).drop("_last") if key != [own] else df.dropDuplicates(key)
-                old = old.join(df.select(*key), key, "left_anti")
-            replaced, df = self._fixed(old), self._fixed(df)
+            df, gone = self._last_come(name, t, df)
+            rest = rest.join(gone.select(ROWID), ROWID, "left_anti")
         elif st["upsert"]:
             return self._upsert(name, t, df, *st["upsert"], st["returning"], params)
         new_rows = df.select(ROWID, *t.names())
-        if replaced is not None:
-            self.store.put(name, replaced, replace=True)
-        if bad := self.violations(name, new_rows):
+        if bad := self.violations(name, new_rows, rest):
             raise DialectError(bad[0])
         self._fire(name, "BEFORE", "INSERT", self._feed(t, None, new_rows))
-        self.store.put(name, new_rows)
-        count = new_rows.count()
+        if gone is None or gone.isEmpty():
+            self.store.put(name, new_rows)
+        else:
+            beside, rest = self.store.without(name, gone)
+            self.store.put(name, rest.unionByName(new_rows), beside=beside)
+        last = df.agg(F.max(ROWID).alias("m"), F.max_by(ROWID, "_place").alias("l"), F.count(F.lit(1)).alias("n")).first()
+        count = last.n
         if count:
             t.next_rowid = max(t.next_rowid, last.m + 1)
-            self.counters["last_insert_rowid"] = last.m
-        return self._settle(name, t, count, self._feed(t, None, new_rows), st["returning"], new_rows, params)
+            self.counters["last_insert_rowid"] = last.l
+        displaced = None if gone is None else self._feed(t, gone, None)
+        return self._settle(name, t, count, self._feed(t, None, new_rows), st["returning"], new_rows, params, displaced)
+
+    def _keyed(self, t: Table, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``rows`` with the value of every unique key, in columns of their own."""
+        values = {f"_k{i}": v for i, (v, _) in enumerate(self._uniques(t))}
+        return rows.alias("t").select("t.*", *(v.alias(k) for k, v in values.items())), list(values)
+
+    def _first_come(self, name: str, t: Table, df: DataFrame) -> DataFrame:
+        """Of the rows ``df`` those that OR IGNORE keeps: each that meets no row of the table and none kept before it, by _place.
+
+        With one key these are the first rows of its values. With several, rows
+        that are the first of all their keys are kept and what meets them goes,
+        until none is left; a round settles the first row of every tie at least.
+        """
+        df, keys = self._keyed(t, df)
+        old, _ = self._keyed(t, self.store.rows(name))
+        for k in keys:
+            met = old.select(k).join(df.select(k), k, "left_semi")  # few, while the new rows are
+            df = df.join(met, k, "left_anti")
+        if not keys:
+            return df
+        left, kept = self._fixed(df), None
+        while True:
+            ahead = left
+            for k in keys:
+                first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("_place").alias(f"{k}_first"))
+                ahead = ahead.join(first, k, "left").where(F.coalesce(f"{k}_first", "_place") == F.col("_place")).drop(f"{k}_first")
+            ahead = ahead.select(*left.columns)
+            if len(keys) == 1:
+                return self._fixed(ahead)
+            ahead = self._fixed(ahead)
+            kept = ahead if kept is None else kept.unionByName(ahead)
+            left = left.join(ahead.select("_place"), "_place", "left_anti")
+            for k in keys:
+                left = left.join(ahead.select(k), k, "left_anti")
+            left = self._fixed(left)
+            if left.isEmpty():
+                return kept
+
+    def _last_come(self, name: str, t: Table, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the rows ``df`` those that OR REPLACE leaves, and the table's rows that go.
+
+        A row goes when a later one, by _place, has one of its keys, even if that one goes itself.
+        """
+        df, keys = self._keyed(t, df)
+        old, _ = self._keyed(t, self.store.rows(name))
+        met = None
+        left = df
+        for k in keys:
+            hit = old.join(df.select(k), k, "left_semi").select(ROWID, *t.names())
+            met = hit if met is None else met.unionAll(hit)
+            last = df.where(F.col(k).isNotNull()).groupBy(k).agg(F.max("_place").alias(f"{k}_last"))
+            left = left.join(last, k, "left").where(F.coalesce(f"{k}_last", "_place") == F.col("_place")).drop(f"{k}_last")
+        met = old.limit(0).select(ROWID, *t.names()) if met is None else met.dropDuplicates([ROWID])
+        return self._fixed(left.select(*df.columns)), self._fixed(met)
 
     def _upsert(self, name, t, df, keys, sets, returning, params):
-        old = self.store.rows(name)
-        met = old.alias("t").join(df.alias("excluded"), [F.col(f"t.`{k}`") == F.col(f"excluded.`{k}`") for k in keys])
-        types = self._types(t)
-        changes = {c: self._value(_renamed(e, name, "t"), params, {"t": types, "excluded": types}).cast(SQL_TYPE[types[c]]) for c, e in sets}
-        updated = self._fixed(met.select(F.col(f"t.{ROWID}").alias(ROWID), *(changes.get(c, F.col(f"t.`{c}`")).alias(c) for c in t.names())))
-        added = self._fixed(df.join(old.select(*keys), keys, "left_anti").select(ROWID, *t.names()))
-        kept = old.join(updated.select(ROWID), ROWID, "left_anti")
-        result = self._fixed(kept.unionByName(updated).unionByName(added))
-        if bad := self.violations(name, result, whole=True):
+        """Rows that meet one by ``keys`` change it, in their order; the others are added.
+
+        Of rows with a new key the first is added and the others change it. The
+        changes of a key are folded by TRIGGER_FOLD at a time, so no task holds
+        more of them at once. Rows with a null in the key are added.
+        """
+        known = [{k.lower() for k in key} for key in t.keys]
+        known += [{e.strip('"').lower() for e in x["exprs"]} for x in t.indexes.values() if x["unique"] and not x["where"]]
+        if {k.lower() for k in keys} not in known:
+            raise DialectError("ON CONFLICT names no primary key or unique columns")
+        own = self._types(t)
+        rest = self.store.rows(name)
+        whole = F.lit(True)
+        for k in keys:
+            whole = whole & F.col(k).isNotNull()
+        alone, df = df.where(~whole), df.where(whole)
+        chosen = self._fixed(rest.join(df.select(*keys), keys, "left_semi").select(ROWID, *t.names()))
+        by_key = Window.partitionBy(*keys).orderBy("_place")
+        added = df.join(chosen.select(*keys), keys, "left_anti").withColumn("_n", F.row_number().over(by_key)).where("_n = 1")
+        added = self._fixed(added.select(ROWID, "_place", *t.names()))
+        base = chosen.unionByName(added.select(ROWID, *t.names()))
+        change = F.struct("_place", *(F.col(f"`{c}`").alias(f"c_{c}") for c in own))
+        pairs = df.join(added.select("_place"), "_place", "left_anti").select(*keys, "_place", change.alias("_change"))
+        pairs = pairs.withColumn("_round", F.floor((F.row_number().over(by_key) - 1) / TRIGGER_FOLD).cast("int"))
+        pairs = self._fixed(pairs.join(base.select(F.col(ROWID).alias("_base"), *keys), keys).select("_base", "_round", "_change"))
+        scope = Scope({"_row": own, "_change": {f"c_{c}": ty for c, ty in own.items()}})
+        exprs = {c: Translator(lambda n: None, params).expr(_excluded(_renamed(e, name, "_row")), scope)[0] for c, e in sets}
+        fields = ", ".join(f"CAST({exprs.get(c, f'`_row`.`{c}`')} AS {SQL_TYPE[ty]}) AS `{c}`" for c, ty in own.items())
+        start = ", ".join(f"CAST(`{c}` AS {SQL_TYPE[ty]}) AS `{c}`" for c, ty in own.items())
+        new = base
+        for n in range((pairs.agg(F.max("_round")).first()[0] or 0) + 1):
+            held = pairs.where(F.col("_round") == n).groupBy(F.col("_base").alias(ROWID)).agg(F.sort_array(F.collect_list("_change")).alias("_changes"))
+            folded = new.join(held, ROWID, "left").withColumn(
+                "_out", F.expr(f"aggregate(coalesce(_changes, array()), struct({start}), (_row, _change) -> struct({fields}))")
+            )
+            new = self._fixed(folded.select(ROWID, *(F.col(f"_out.`{c}`").alias(c) for c in t.names())))
+        updated = new.join(chosen.select(ROWID), ROWID, "left_semi")
+        fresh = new.join(chosen.select(ROWID), ROWID, "left_anti").unionByName(alone.select(ROWID, *t.names()))
+        touched = self._fixed(self._finish(updated.unionByName(fresh), t).select(ROWID, *t.names()))
+        beside, kept = self.store.without(name, chosen)
+        if bad := self.violations(name, touched, rest.join(chosen.select(ROWID), ROWID, "left_anti")):
             raise DialectError(bad[0])
-        before = self._fixed(old.join(updated.select(ROWID), ROWID, "left_semi"))
-        self.store.put(name, result, replace=True)
-        t.next_rowid = max(t.next_rowid, (added.agg(F.max(ROWID)).first()[0] or 0) + 1)
-        feed = self._feed(t, before, updated).unionByName(self._feed(t, None, added))
-        touched = updated.unionByName(added)
+        self.store.put(name, kept.unionByName(touched), beside=beside)
+        updated = touched.join(chosen.select(ROWID), ROWID, "left_semi")
+        fresh = touched.join(chosen.select(ROWID), ROWID, "left_anti")
+        t.next_rowid = max(t.next_rowid, (fresh.agg(F.max(ROWID)).first()[0] or 0) + 1)
+        feed = self._feed(t, chosen, updated).unionByName(self._feed(t, None, fresh))
         return self._settle(name, t, touched.count(), feed, returning, touched, params)
 
     def _view(self, name: str) -> tuple[Table, DataFrame]:
@@ -590,11 +710,10 @@ class Engine:
     def _update(self, name: str, t: Table, chosen: DataFrame, new: DataFrame, returning, params: dict) -> Change:
         new = self._fixed(self._finish(new, t).select(ROWID, *t.names()))
         self._fire(name, "BEFORE", "UPDATE", self._feed(t, chosen, new))
-        kept = self.store.rows(name).join(chosen.select(ROWID), ROWID, "left_anti")
-        result = self._fixed(kept.unionByName(new))
-        if bad := self.violations(name, result, whole=True):
+        beside, kept = self.store.without(name, chosen)
+        if bad := self.violations(name, new, self.store.rows(name).join(chosen.select(ROWID), ROWID, "left_anti")):
             raise DialectError(bad[0])
-        self.store.put(name, result, replace=True)
+        self.store.put(name, kept.unionByName(new), beside=beside)
         feed = self._feed(t, chosen, new)
         self._cascade(name, "UPDATE", feed)
         return self._settle(name, t, new.count(), feed, returning, new, params)
@@ -611,7 +730,8 @@ class Engine:
     def _delete(self, name: str, t: Table, chosen: DataFrame, returning, params: dict) -> Change:
         feed = self._feed(t, chosen, None)
         self._fire(name, "BEFORE", "DELETE", feed)
-        self.store.put(name, self.store.rows(name).join(chosen.select(ROWID), ROWID, "left_anti"), replace=True)
+        beside, kept = self.store.without(name, chosen)
+        self.store.put(name, kept, beside=beside)
         self._cascade(name, "DELETE", feed)
         return self._settle(name, t, chosen.count(), feed, returning, chosen, params)
 
@@ -631,19 +751,19 @@ class Engine:
                 if hit.isEmpty():
                     continue
                 rule = c.references[2 if event == "DELETE" else 3]
-                kept = rows.join(hit.select(ROWID), ROWID, "left_anti")
+                beside, kept = self.store.without(child, hit)
                 old = hit.select(ROWID, *t.names())
                 if rule in ("RESTRICT", "NO ACTION"):
                     raise DialectError(f"FOREIGN KEY {child}.{c.name}")
                 if rule == "CASCADE" and event == "DELETE":
-                    self.store.put(child, self._fixed(kept), replace=True)
+                    self.store.put(child, kept, beside=beside)
                     further = self._feed(t, old, None)
                 else:
                     value = F.col("_new") if rule == "CASCADE" else self._value(c.default, {}) if rule == "SET DEFAULT" and c.default else F.lit(None)
                     new = self._fixed(hit.withColumn(c.name, value.cast(SQL_TYPE[c.type])).select(ROWID, *t.names()))
-                    result = self._fixed(kept.unionByName(new))
-                    self.store.put(child, result, replace=True)
-                    if bad := self.violations(child, result, whole=True):
+                    others = rows.join(hit.select(ROWID), ROWID, "left_anti")
+                    self.store.put(child, kept.unionByName(new), beside=beside)
+                    if bad := self.violations(child, new, others):
                         raise DialectError(bad[0])
                     further = self._feed(t, old, new)
                 self._cascade(child, event, further)
@@ -661,20 +781,23 @@ class Engine:
                 joined = joined.withColumns({f"{side}_{c.name}": F.lit(None).cast(SQL_TYPE[c.type]) for c in t.columns})
         return joined.select(F.lit(op).alias("_op"), ROWID, *(f"{s}_{c}" for s in ("old", "new") for c in t.names()))
 
-    def _settle(self, name, t, count, feed, returning, rows, params) -> Change:
-        """After a change: triggers and hooks, reactive views, returned rows."""
+    def _settle(self, name, t, count, feed, returning, rows, params, displaced: DataFrame | None = None) -> Change:
+        """After a change: triggers and hooks, reactive views, returned rows.
+
+        ``displaced`` is the feed of rows that OR REPLACE removed, which no trigger sees.
+        """
         event = {"insert": "INSERT", "update": "UPDATE", "delete": "DELETE"}
         for op in ("insert", "update", "delete"):
             self._fire(name, "AFTER", event[op], feed.where(F.col("_op") == op))
+        feed = feed if displaced is None else displaced.unionByName(feed)
         ivm.flush(self, name, feed)
         returned = None
         if returning:
-            view = Translator(lambda n: self._types(t) if n == "_changed" else None, params)
-            frame = rows.drop(ROWID)
-            frame.createOrReplaceTempView("_changed")
-            sql = view.query(Select(returning, ("table", "_changed", name)), None)[0]
-            returned = self.spark.sql(sql)
-            self.spark.catalog.dropTempView("_changed")
+            view = Translator(lambda n: self._types(t), params)
+            changed = f"{self.prefix}changed"
+            rows.drop(ROWID).createOrReplaceTempView(changed)
+            returned = self.spark.sql(view.query(Select(returning, ("table", changed, name)), None)[0])
+            self.spark.catalog.dropTempView(changed)
         return Change(count, returned, feed, name)
 
     def hook(self, table: str, timing: str, event: str, f: Callable[[DataFrame], None]) -> None:
@@ -807,6 +930,17 @@ class Engine:
                 yield f"CREATE VIEW {name(n)} AS {sql};"
 
 
+def _excluded(node):
+    """Syntax in which excluded.x is the column c_x of _change, and a bare column is that of _row."""
+    if isinstance(node, tuple) and node[:1] == ("col",):
+        if node[1] and node[1].lower() == "excluded":
+            return ("col", "_change", f"c_{node[2]}")
+        return ("col", node[1] or "_row", node[2])
+    if isinstance(node, (tuple, list)):
+        return type(node)(_excluded(x) for x in node)
+    return node
+
+
 def _flat(node):
     """Syntax in which OLD.x and NEW.x are the columns old_x and new_x of _change."""
     if isinstance(node, tuple) and node[:1] == ("col",) and node[1] and node[1].lower() in ("old", "new"):

@@ -310,6 +310,44 @@ def i4(spark, sf_dir):
     return db.query("SELECT * FROM cust")
 
 
+_REPEATS = "SELECT c_custkey % 50, 'n' || c_custkey, c_mktsegment, 1.0 * c_custkey FROM src"
+
+
+def _repeated(spark, sf_dir, sql):
+    """A table with every second key from 0 to 48, and rows that meet its 50 keys over and over, in the order of c_custkey."""
+    db = Engine(spark)
+    # File order is what a statement's row order stands for, so rows are spread over several partitions in that order.
+    db.register("src", lambda: table(spark, sf_dir, "customer").repartitionByRange(8, "c_custkey").sortWithinPartitions("c_custkey"))
+    db.execute("CREATE TABLE cust (id INTEGER PRIMARY KEY, name TEXT NOT NULL, seg TEXT, bal REAL DEFAULT 0.0)")
+    db.execute("INSERT INTO cust SELECT c_custkey, 'old', 'none', 0.0 FROM src WHERE c_custkey < 50 AND c_custkey % 2 = 0")
+    db.execute(sql)
+    return db.query("SELECT * FROM cust")
+
+
+_FOLD = "SELECT c_custkey % 50 AS id, {f}(c_custkey) AS c FROM customer GROUP BY 1"
+_OLD = "SELECT c_custkey AS id FROM customer WHERE c_custkey < 50 AND c_custkey % 2 = 0"
+
+
+@frame("i3_ignore_repeats", f"""SELECT id, 'old' AS name, 'none' AS seg, 0.0::DOUBLE AS bal FROM ({_OLD}) UNION ALL
+    SELECT f.id, 'n' || c AS name, c_mktsegment AS seg, (1.0 * c)::DOUBLE AS bal FROM ({_FOLD.format(f='min')}) AS f JOIN customer ON c_custkey = c WHERE f.id NOT IN ({_OLD})""")
+def i3_ignore(spark, sf_dir):
+    return _repeated(spark, sf_dir, f"INSERT OR IGNORE INTO cust {_REPEATS}")
+
+
+@frame("i3_replace_repeats", f"""SELECT f.id, 'n' || c AS name, c_mktsegment AS seg, (1.0 * c)::DOUBLE AS bal FROM ({_FOLD.format(f='max')}) AS f JOIN customer ON c_custkey = c
+    UNION ALL SELECT id, 'old' AS name, 'none' AS seg, 0.0::DOUBLE AS bal FROM ({_OLD}) AS o WHERE id NOT IN (SELECT c_custkey % 50 FROM customer)""")
+def i3_replace(spark, sf_dir):
+    return _repeated(spark, sf_dir, f"INSERT OR REPLACE INTO cust {_REPEATS}")
+
+
+@frame("i4_upsert_repeats", f"""SELECT f.id, CASE WHEN o.id IS NULL THEN 'n' || a ELSE 'old' END || repeat('!', CASE WHEN o.id IS NULL THEN n - 1 ELSE n END::INT) AS name, c_mktsegment AS seg, s AS bal
+    FROM (SELECT c_custkey % 50 AS id, min(c_custkey) AS a, max(c_custkey) AS z, count(*) AS n, sum(c_custkey)::DOUBLE AS s FROM customer GROUP BY 1) AS f
+    JOIN customer ON c_custkey = z LEFT JOIN ({_OLD}) AS o ON o.id = f.id
+    UNION ALL SELECT id, 'old' AS name, 'none' AS seg, 0.0::DOUBLE AS bal FROM ({_OLD}) AS o WHERE id NOT IN (SELECT c_custkey % 50 FROM customer)""")
+def i4_repeats(spark, sf_dir):
+    return _repeated(spark, sf_dir, f"INSERT INTO cust {_REPEATS} ON CONFLICT(id) DO UPDATE SET name = name || '!', seg = excluded.seg, bal = cust.bal + excluded.bal")
+
+
 @frame("i5_update", f"SELECT id, name, lower(seg) AS seg, CASE WHEN seg = 'BUILDING' THEN bal + 100 ELSE bal END AS bal FROM ({_CUST}) WHERE seg = 'BUILDING' UNION ALL SELECT id, name, seg, bal FROM ({_CUST}) WHERE seg <> 'BUILDING'")
 def i5(spark, sf_dir):
     db = _loaded(spark, sf_dir, _LOAD)

@@ -297,3 +297,132 @@ def test_keys_with_nulls_are_kept_apart(db):
     db.execute("INSERT OR IGNORE INTO t VALUES (1, NULL), (2, NULL), (3, 'x'), (4, 'x')")
     db.execute("INSERT OR REPLACE INTO t VALUES (5, NULL), (6, 'x')")
     assert sorted(a for (a,) in taken(db, "SELECT a FROM t")) == [1, 2, 5, 6]
+
+
+def brute_insert(rows, how, first=()):
+    """(a, b, v) rows by the row-at-a-time rules; a and b are unique, null like no other."""
+    held = list(first)
+    for row in rows:
+        met = [x for x in held if any(x[k] is not None and x[k] == row[k] for k in (0, 1))]
+        if how == "IGNORE" and met:
+            continue
+        held = [x for x in held if x not in met] + [row]
+    return sorted(held, key=str)
+
+
+def test_ignore_and_replace_go_row_by_row(spark):
+    """Repeated keys over several partitions, one key and two."""
+    import random
+
+    r = random.Random(8)
+    rows = [(r.choice([None, *range(25)]), r.choice([None, *range(30)]), i) for i in range(300)]
+    first = [(1, 2, -1), (None, 3, -2), (4, None, -3)]
+    src = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i long, a long, b long, v long").repartitionByRange(6, "i").sortWithinPartitions("i")
+    for how in ("IGNORE", "REPLACE"):
+        db = Engine(spark)
+        db.register("src", src)
+        db.execute("CREATE TABLE t (a INTEGER UNIQUE, b INTEGER, v INTEGER)")
+        db.execute("CREATE UNIQUE INDEX ub ON t (b)")
+        db.execute("INSERT INTO t VALUES (1, 2, -1), (NULL, 3, -2), (4, NULL, -3)")
+        db.execute(f"INSERT OR {how} INTO t SELECT a, b, v FROM src")
+        assert sorted((tuple(x) for x in db.query("SELECT a, b, v FROM t").collect()), key=str) == brute_insert(rows, how, first)
+        db = Engine(spark)
+        db.register("src", src)
+        db.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, v INTEGER)")
+        db.execute(f"INSERT OR {how} INTO t SELECT a, v FROM src WHERE a IS NOT NULL")
+        want = {}
+        for a, _, v in rows:
+            if a is not None and (how == "REPLACE" or a not in want):
+                want[a] = v
+        assert {x.a: x.v for x in db.query("SELECT a, v FROM t").collect()} == want
+
+
+def test_upsert_on_a_unique_index_folds_in_order(spark, monkeypatch):
+    from marlwick import engine
+
+    monkeypatch.setattr(engine, "TRIGGER_FOLD", 2)
+    db = Engine(spark)
+    db.execute("CREATE TABLE u (id INTEGER PRIMARY KEY, k TEXT, v TEXT)")
+    with pytest.raises(DialectError):
+        db.execute("INSERT INTO u VALUES (1, 'a', 'b') ON CONFLICT(k) DO UPDATE SET v = excluded.v")
+    db.execute("CREATE UNIQUE INDEX u_k ON u (k)")
+    db.execute("INSERT INTO u VALUES (1, 'key', 'a')")
+    out = db.execute("INSERT INTO u VALUES (2, 'key', 'b'), (3, 'new', 'c'), (4, 'key', 'd'), (5, 'new', 'e'), (6, 'key', 'f'), (7, 'new', 'g'), (8, NULL, 'h'), (9, NULL, 'i') ON CONFLICT(k) DO UPDATE SET v = v || excluded.v")
+    assert sorted(map(tuple, db.query("SELECT * FROM u").collect())) == [(1, "key", "abdf"), (3, "new", "ceg"), (8, None, "h"), (9, None, "i")]
+    assert out.count == 4 and {(x["_op"], x["_rowid"]) for x in out.feed.collect()} == {("update", 1), ("insert", 3), ("insert", 8), ("insert", 9)}
+
+
+def test_replace_reaches_reactive_views(spark):
+    db = Engine(spark)
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, g TEXT)")
+    db.execute("INSERT INTO t VALUES (1, 'a'), (2, 'a'), (3, 'b')")
+    out = db.execute("INSERT OR REPLACE INTO t VALUES (1, 'b'), (4, 'c')")
+    assert {(x["_op"], x["_rowid"]) for x in out.feed.collect()} == {("delete", 1), ("insert", 1), ("insert", 4)}
+
+
+def test_a_change_touches_only_its_parts(spark):
+    db = Engine(spark)
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT)")
+    for i in range(4):
+        db.execute(f"INSERT INTO t VALUES ({i}, 'x')")
+    before = list(db.store.state.tables["t"].parts)
+    db.execute("UPDATE t SET v = 'y' WHERE id = 2")
+    db.execute("DELETE FROM t WHERE id = 0")
+    after = db.store.state.tables["t"].parts
+    assert set(before) & set(after) == {before[1], before[3]}
+    assert sorted(map(tuple, db.query("SELECT * FROM t").collect())) == [(1, "x"), (2, "y"), (3, "x")]
+
+
+def test_an_insert_does_not_shuffle_the_table(spark):
+    db = Engine(spark)
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v TEXT UNIQUE)")
+    spark.range(5000).selectExpr("id", "'v' || id AS v").createOrReplaceTempView("_src5000")
+    db.register("src", spark.table("_src5000"))
+    db.execute("INSERT INTO t SELECT id, v FROM src")
+    t, rest = db.store.state.tables["t"], db.store.rows("t")
+    new = db._fixed(spark.createDataFrame([(9000, 9000, "v9000")], "_rowid long, id long, v string"))
+    for value, _ in db._uniques(t):
+        keys = new.alias("t").select(value.alias("_k"))
+        plan = rest.alias("t").select(value.alias("_k")).join(keys, "_k", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert not db.violations("t", new, rest)
+    with pytest.raises(DialectError):
+        db.execute("INSERT INTO t VALUES (9001, 'v17')")
+
+
+def test_a_killed_commit_leaves_the_last_version(spark, tmp_path):
+    db = Engine(spark, str(tmp_path))
+    db.execute("CREATE TABLE t (a INTEGER)")
+    db.execute("INSERT INTO t VALUES (1)")
+    (tmp_path / "_commits" / "_killed").write_text("")  # what a writer leaves that was killed before its rename
+    again = Engine(spark, str(tmp_path))
+    assert again.query("SELECT a FROM t").collect() == [(1,)]
+    again.execute("INSERT INTO t VALUES (2)")
+    with pytest.raises(Exception):  # noqa: B017
+        db.execute("INSERT INTO t VALUES (3)")  # another writer was first
+    assert sorted(x.a for x in Engine(spark, str(tmp_path)).query("SELECT a FROM t").collect()) == [1, 2]
+    assert again.query_as_of("SELECT COUNT(*) AS n FROM t", txn=2).first().n == 1
+    again.execute("VACUUM")
+    assert not (tmp_path / "_staged").exists() and again.query("SELECT COUNT(*) AS n FROM t").first().n == 2
+
+
+def test_attached_databases_are_apart(spark, tmp_path):
+    db = Engine(spark)
+    db.execute("CREATE TABLE t (n INTEGER)")
+    db.execute("INSERT INTO t VALUES (1), (2), (3)")
+    db.execute(f"ATTACH DATABASE '{tmp_path}' AS aux")
+    assert db.query("PRAGMA active_database").first()[0] == "main"
+    db.execute("PRAGMA active_database = 'aux'")
+    assert db.query("PRAGMA active_database").first()[0] == "aux" and db.query("PRAGMA database_list").count() == 2
+    db.execute("CREATE TABLE t (n INTEGER)")
+    db.execute("INSERT INTO t VALUES (10)")
+    assert [x.n for x in db.query("SELECT n FROM t").collect()] == [10]
+    db.execute("PRAGMA active_database = main")
+    assert db.query("SELECT COUNT(*) AS c FROM t").first().c == 3
+    db.execute("PRAGMA active_database = aux")
+    db.execute("DETACH DATABASE aux")
+    assert db.query("PRAGMA active_database").first()[0] == "main" and db.query("SELECT COUNT(*) AS c FROM t").first().c == 3
+    for sql in ("DETACH DATABASE main", "DETACH DATABASE aux", "PRAGMA active_database = nope"):
+        with pytest.raises(DialectError):
+            db.execute(sql)
+    assert Engine(spark, str(tmp_path)).query("SELECT n FROM t").first().n == 10
