@@ -7,8 +7,14 @@ goes through the binary file source and a streaming parser.
 
 Resolution: a first pass writes every page as a response; headers with recomputed
 payload digests are read back, shuffled by digest, and each later record of a
-payload becomes a revisit of its first. A second pass writes the deduplicated
-archives with fresh headers (new record ids and block lengths).
+payload becomes a revisit of its first. The decisions are gathered by archive and
+joined with the archives, so a second pass streams each archive beside its own
+decisions and writes the deduplicated archives with fresh headers (new record ids
+and block lengths). Payloads are not shuffled; where the decisions are too many to
+broadcast, Spark moves archives as they are, compressed.
+
+Archives are bounded in bytes: pages are written by size class, each of which has a
+number of records to a file.
 """
 
 from __future__ import annotations
@@ -22,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import attach, fresh_path, written
+from .shared import attach, fresh_path, frugal, small_batches, written
 
 CRLF = "\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
-#: Records in an archive at most, so that one task can hold an archive.
-RECORDS_PER_ARCHIVE = 20_000
+#: (Payload bytes, records): payloads of up to so many bytes, so many to an archive at most. A class has 256 MB at most to an
+#: archive before compression, the last one a record.
+CLASSES = [(1 << 16, 4096), (1 << 20, 256), (1 << 24, 16), (1 << 31, 1)]
 #: Bytes of payload in an Arrow batch, about.
 BATCH_BYTES = 8 << 20
 
@@ -71,9 +78,18 @@ def record(payload: Column, page_id: Column, uri: Column, record_id: Column, dig
     )
 
 
-def write_archives(records: DataFrame, column: str, path: str) -> None:
-    (records.select(column).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path))
+def size_class(size: Column) -> Column:
+    """The first of CLASSES that a payload fits in."""
+    out = F.lit(len(CLASSES) - 1)
+    for k in range(len(CLASSES) - 2, -1, -1):
+        out = F.when(size <= CLASSES[k][0], F.lit(k)).otherwise(out)
+    return out
+
+
+def write_archives(records: DataFrame, column: str, path: str, per_file: int) -> None:
+    with small_batches(records.sparkSession):
+        (records.select(column).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+         .option("maxRecordsPerFile", per_file).text(path))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -92,42 +108,59 @@ def _urn(value: str | None) -> str | None:
     return value.removeprefix("<urn:uuid:").removesuffix(">") if value else None
 
 
-def _reader(with_payload: bool):
+#: What a revisit gets of the record that it refers to.
+_DECISION = "first_record_id string, first_page_id long, first_uri string"
+
+
+def _schema(fields: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in fields.split(", ")])
+
+
+def _reader(bodies: bool):
+    """Partition function over (path, content): a row for each record. With ``bodies`` there is a third column, the archive's
+    decisions, and rows have the payload and the record's own decision too."""
+    schema = _schema(_HEADERS + (f", payload binary, {_DECISION}" if bodies else ""))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _HEADERS.split(", ")] + ["payload"] * with_payload
-        kinds = {"string": pa.string(), "long": pa.int64()}
-        schema = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, _HEADERS.split(", "), strict=False)] + ([("payload", pa.binary())] if with_payload else []))
         out: list[tuple] = []
         held = 0
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, (path, content) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                decided = {d["record_id"]: d for d in batch.column(2)[i].as_py() or ()} if bodies else {}
                 for fields, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)):
                     kind = fields.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
                     payload = block.partition(b"\r\n\r\n")[2]
-                    page, to = fields.get("x-page-id"), fields.get("x-refers-to-page")
+                    page, to, own = fields.get("x-page-id"), fields.get("x-refers-to-page"), _urn(fields.get("warc-record-id"))
                     if kind == "response":
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                     else:
                         size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
-                    row = (path, int(page) if page else None, fields.get("warc-target-uri"), _urn(fields.get("warc-record-id")), kind,
+                    row = (path, int(page) if page else None, fields.get("warc-target-uri"), own, kind,
                            _urn(fields.get("warc-refers-to")), int(to) if to else None, size, digest)
-                    out.append((*row, payload) if with_payload else row)
-                    held += len(payload) if with_payload else 0
+                    if bodies:
+                        first = decided.get(own)  # the payload of a revisit is not written again
+                        row += (b"", first["first_record_id"], first["first_page_id"], first["first_uri"]) if first else (payload, None, None, None)
+                        held += len(payload)
+                    out.append(row)
                     if len(out) >= 4096 or held > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                         out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows
+    return frugal("warc", rows)
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per record. Sizes and digests of responses are computed from their payloads, not trusted."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return files.mapInArrow(_reader(with_payload), _HEADERS + (", payload binary" if with_payload else ""))
+    return _archives(spark, path).mapInArrow(_reader(False), _HEADERS)
 
 
 def resolve(headers: DataFrame, least: int) -> DataFrame:
@@ -161,23 +194,27 @@ def warc_roundtrip(pages: DataFrame, least: int = 100, date: str = "2024-01-01T0
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit(""))
     raw, final = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
-    write_archives(
-        pages.select(record(payload, F.col("page_id"), F.col("url"), F.expr("uuid()"), F.sha2(payload, 256), date).alias("record")),
-        "record", raw,
-    )
+    level = size_class(F.octet_length(payload))
+    first = pages.select(level.alias("level"), record(payload, F.col("page_id"), F.col("url"), F.expr("uuid()"), F.sha2(payload, 256), date).alias("record"))
+    levels = sorted(r.level for r in pages.select(level.alias("level")).distinct().collect()) or [0]
+    for k in levels:
+        write_archives(first.where(F.col("level") == k), "record", f"{raw}/{k}", CLASSES[k][1])
     headers = written(read_archives(spark, raw), "warc-headers")
-    decided = resolve(headers, least).select("record_id", "first_record_id", "first_page_id", "first_uri")
-    # Only revisits need a decision; responses are the records without one.
-    revisits = decided.where(F.col("first_record_id").isNotNull())
-    bodies = read_archives(spark, raw, with_payload=True).join(revisits, "record_id", "left")
-    text = F.col("payload").cast("string")
+    # Only revisits need a decision; responses are the records without one. An archive has CLASSES' number of them at most.
+    revisits = resolve(headers, least).where(F.col("first_record_id").isNotNull())
+    decision = F.struct("record_id", "first_record_id", "first_page_id", "first_uri")
+    decisions = written(revisits.groupBy("archive").agg(F.collect_list(decision).alias("decisions")), "decisions")
     # Record ids are derived anew and alike for a response and for what refers to it.
     new_id = lambda c: F.regexp_replace(F.md5(F.concat(F.lit("deduplicated:"), c)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
-    write_archives(
-        bodies.select(
-            record(text, F.col("page_id"), F.col("uri"), new_id(F.col("record_id")), F.col("payload_digest"), date,
-                   new_id(F.col("first_record_id")), F.col("first_uri"), F.col("first_page_id"), F.col("payload_bytes")).alias("record")
-        ),
-        "record", final,
-    )
+    for k in levels:
+        files = _archives(spark, f"{raw}/{k}")
+        bodies = files.join(decisions, F.col("path") == F.col("archive"), "left").select("path", "content", "decisions")
+        bodies = bodies.mapInArrow(_reader(True), f"{_HEADERS}, payload binary, {_DECISION}")
+        write_archives(
+            bodies.select(
+                record(F.col("payload").cast("string"), F.col("page_id"), F.col("uri"), new_id(F.col("record_id")), F.col("payload_digest"), date,
+                       new_id(F.col("first_record_id")), F.col("first_uri"), F.col("first_page_id"), F.col("payload_bytes")).alias("record")
+            ),
+            "record", f"{final}/{k}", CLASSES[k][1],
+        )
     return read_archives(spark, final).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
