@@ -71,7 +71,7 @@ def test_misra_gries_bound():
     assert 500 - len(items) / 6 <= held[b"hot"] <= 500
 
 
-def test_warc(spark, none):
+def test_warc(spark, none, monkeypatch):
     big, small = "<html>" + "é" * 200, "tiny"
     data = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, small), (4, "u", small), (5, "u", None), (6, "u", ""), (2, "http://b/", big), (None, "n", big), (7, "u", "WARC/1.1\r\n\r\n" * 30)]
     pages = spark.createDataFrame([(*x, 1) for x in data], "page_id long, url string, html string, n long")
@@ -79,6 +79,9 @@ def test_warc(spark, none):
     assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest) for r in got) == sorted((str(i), len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in data)
     assert sorted((str(r.page_id), r.refers_to) for r in got if r.record_type == "revisit") == [("2", 1), ("2", 1), ("None", 1)]
     assert warc.warc_roundtrip(spark.createDataFrame([], pages.schema)).count() == 0
+    monkeypatch.setattr(warc, "CLASSES", [(10, 2), (500, 1), (1 << 31, 2)])  # several sizes, and archives of few records
+    again = warc.warc_roundtrip(pages).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def brute_url(url):
