@@ -62,15 +62,22 @@ def a8(spark, sf_dir):
 dialect("a9_catalog", "SELECT name, type FROM sqlite_master WHERE name IN ('nation', 'region', 'orders')", "SELECT table_name AS name, 'table' AS type FROM (VALUES ('nation'), ('region'), ('orders')) AS t(table_name)")
 
 
-@frame("a10_fts_scan", "SELECT doc_id, lang FROM documents WHERE strlen(text) > 0")
+@frame("a10_fts_scan", "SELECT lang, text FROM documents")
 def a10(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.octet_length("text") > 0).select("doc_id", "lang")
+    db = Engine(spark)
+    db.register("src", lambda: table(spark, sf_dir, "documents"))
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(lang, text)")
+    db.execute("INSERT INTO f SELECT lang, text FROM src")
+    return db.query("SELECT lang, text FROM f")
 
 
 @frame("a12_dump", "SELECT 'INSERT INTO \"region\" VALUES (' || r_regionkey || ', ''' || r_name || ''');' AS line FROM region")
 def a12(spark, sf_dir):
-    rows = table(spark, sf_dir, "region")
-    return rows.select(F.format_string("INSERT INTO \"region\" VALUES (%d, '%s');", "r_regionkey", F.replace("r_name", F.lit("'"), F.lit("''"))).alias("line"))
+    db = Engine(spark)
+    db.register("src", lambda: table(spark, sf_dir, "region"))
+    db.execute("CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+    db.execute("INSERT INTO region SELECT r_regionkey, r_name FROM src")
+    return spark.createDataFrame([(line,) for line in db.dump(data_only=True)], "line string")
 
 
 # ---- B: projection, filters, expressions -------------------------------------------------------
@@ -117,7 +124,7 @@ dialect("c2_left_join", "SELECT d.doc_id, d.lang, l.quality FROM documents AS d
 dialect("c3_cross_join", "SELECT r.r_name, n.n_name FROM region AS r CROSS JOIN nation AS n")
 dialect("c3_comma_join", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'")
 dialect("c4_hash_join", "SELECT l.l_orderkey, l.l_linenumber, p.p_brand FROM lineitem AS l JOIN part AS p ON l.l_partkey = p.p_partkey WHERE p.p_size = 15")
-dialect("c4_mixed_keys", "SELECT n.n_name, COUNT(*) AS n FROM supplier AS s JOIN nation AS n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name")
+dialect("c4_mixed_keys", "SELECT n.n_name, COUNT(*) AS n FROM lineitem AS l JOIN nation AS n ON l.l_quantity = n.n_nationkey GROUP BY n.n_name")
 dialect("c5_theta_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation AS a JOIN nation AS b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
 dialect("c5_left_theta", "SELECT r.r_name, n.n_name FROM region AS r LEFT JOIN nation AS n ON n.n_nationkey > r.r_regionkey * 6")
 dialect("c6_lookup_join", "SELECT o.o_orderkey, o.o_totalprice, c.c_name FROM customer AS c JOIN orders AS o ON o.o_custkey = c.c_custkey WHERE c.c_custkey = 42")
@@ -125,7 +132,18 @@ dialect("c7_where_key", "SELECT s_name, n_name FROM supplier, nation WHERE s_nat
 dialect("c8_self_join", "SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer AS a JOIN customer AS b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey")
 dialect("c9_multi_join", "SELECT r.r_name, COUNT(*) AS n, round(SUM(o.o_totalprice), 2) AS total FROM orders AS o JOIN customer AS c ON o.o_custkey = c.c_custkey JOIN nation AS n ON c.c_nationkey = n.n_nationkey JOIN region AS r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
 dialect("c10_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1)")
-dialect("c11_mixed_storage_join", "SELECT d.lang, COUNT(*) AS n FROM documents AS d JOIN labels AS l ON l.doc_id = d.doc_id GROUP BY d.lang")
+
+
+@frame("c11_mixed_storage_join", "SELECT d.lang, COUNT(*) AS n FROM documents AS d JOIN labels AS l ON l.doc_id = d.doc_id GROUP BY d.lang")
+def c11(spark, sf_dir):
+    db = Engine(spark)
+    for name in ("documents", "labels"):
+        db.register(f"src_{name}", lambda name=name: table(spark, sf_dir, name))
+    db.execute("CREATE TABLE d (doc_id INTEGER PRIMARY KEY, lang TEXT)")
+    db.execute("CREATE TABLE l (doc_id INTEGER) USING COLUMNSTORE")
+    db.execute("INSERT INTO d SELECT doc_id, lang FROM src_documents")
+    db.execute("INSERT INTO l SELECT doc_id FROM src_labels")
+    return db.query("SELECT d.lang, COUNT(*) AS n FROM d JOIN l ON l.doc_id = d.doc_id GROUP BY d.lang")
 
 
 @frame("c12_incremental_join", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
