@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .functions import scalar
 from .functions.scalar import SQL_TYPE, DialectError
 from .operators import fts
+from .plans import measure
 from .plans.statements import StatementParser
-from .plans.syntax import Parser, Select
+from .plans.syntax import Parser, Select, tokens
 from .plans.translate import Scope, Translator, spark_type
 from .session import workspace
 from .sources.store import ROWID, Column, State, Store, Table
@@ -47,6 +48,39 @@ class Change:
     table: str | None = None
 
 
+class Prepared:
+    """A parsed statement. Parameters are given by place, or by name; those that a name doesn't give are null in ``params_of_named``."""
+
+    def __init__(self, engine: Engine, sql: str):
+        self.engine, self.sql = engine, sql
+        self.kind = StatementParser(sql).statement()["kind"]
+        marks = [t for kind, t in tokens(sql) if kind == "param"]
+        self.slots = list(dict.fromkeys(f"?{i}" if t == "?" else t for i, t in enumerate(marks)))
+
+    def __call__(self, *args, **named) -> DataFrame | Change:
+        return (self.engine.query if self.kind == "query" else self.engine.execute)(self.sql, *args, **named)
+
+    def run(self, *args, **named) -> int:
+        """Carry out a data change; the number of rows it changed."""
+        return self.engine.execute(self.sql, *args, **named).count
+
+    def iter(self, *args, **named) -> Iterator[Row]:
+        """Pull a query's rows one partition at a time."""
+        return self.engine.rows(self.sql, *args, **named)
+
+    def iter_with_stats(self, *args, **named) -> tuple[Iterator[Row], measure.Stats]:
+        """Rows, and what the query costs, from a run of its own."""
+        return self.iter(*args, **named), self.engine.stats(self.sql, *args, **named)
+
+    def param_slot(self, name: str) -> int | None:
+        """The place, from 0, of a named parameter."""
+        return next((i for i, s in enumerate(self.slots) if s[1:] == name.lstrip(":@$") and s[0] != "?"), None)
+
+    def params_of_named(self, values: dict) -> dict:
+        """A value for every named parameter, null where none is given."""
+        return {s[1:]: values.get(s[1:]) for s in self.slots if s[0] != "?"}
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, clock: Callable[[], float] = time.time):
         self.spark = spark
@@ -141,28 +175,36 @@ class Engine:
         """A query over the last version at or before a commit number or a time."""
         return self._run(StatementParser(sql).statement()["sql"], self.store.as_of(txn, ts), params or {})
 
-    def prepare(self, sql: str) -> Callable[..., DataFrame | Change]:
+    def prepare(self, sql: str) -> Prepared:
         """A statement to run with different parameters; Spark plans each run anew from current sizes."""
-        kind = StatementParser(sql).statement()["kind"]
-        return lambda *a, **k: (self.query if kind == "query" else self.execute)(sql, *a, **k)
+        return Prepared(self, sql)
+
+    def stats(self, sql: str, *args, **named) -> measure.Stats:
+        """What a query costs, from running it once."""
+        return measure.stats(self.query(sql, *args, **named))
 
     def explain(self, st: dict) -> DataFrame:
-        """One row per operator: id, parent (the root's is -1), detail, and rows and ms where it was run."""
-        df = self._run(st["sql"], self.store.state, {})
-        counted = (None, None)
-        if st["analyze"]:
-            began = time.time()
-            counted = (df.count(), round(1000 * (time.time() - began), 1))
-        stack: list[tuple[int, int]] = []
-        out = []
-        for i, line in enumerate(x for x in df._jdf.queryExecution().executedPlan().treeString().split("\n") if x.strip()):
-            text = line.lstrip(" :+-*")
-            depth = len(line) - len(text)
-            while stack and stack[-1][0] >= depth:
-                stack.pop()
-            out.append((i, stack[-1][1] if stack else -1, text[:200], *(counted if i == 0 else (None, None))))
-            stack.append((depth, i))
-        return self.spark.createDataFrame(out, "id int, parent int, detail string, rows long, ms double")
+        """One row per operator: id, parent (the root's is -1), detail, and with ANALYZE rows and ms.
+
+        A data change is one operator over the plan of the query that it takes its rows from; ANALYZE carries it out.
+        """
+        inner = StatementParser(st["sql"]).statement()
+        top = []
+        if inner["kind"] != "query":
+            began, count, ms = time.time(), None, None
+            if st["analyze"]:
+                count = self.execute(st["sql"]).count
+                ms = 1000 * (time.time() - began)
+            top = [measure.Operator(0, -1, inner["kind"], f"{inner['kind'].capitalize()} {inner['table']}", count, ms)]
+        source = st["sql"] if inner["kind"] == "query" else inner.get("select")
+        nodes = []
+        if source:
+            found = fts.matched(self, source, {})
+            df = found if found is not None else self._run(source, self.store.state, {})
+            nodes = measure.operators(df, st["analyze"] and not top)
+        rows = [(n.id, n.parent, n.detail, n.rows, n.ms) for n in top]
+        rows += [(n.id + len(top), n.parent + len(top), n.detail[:200], n.rows, n.ms) for n in nodes]
+        return self.spark.createDataFrame(rows, "id int, parent int, detail string, rows long, ms double")
 
     def master(self, state: State) -> DataFrame:
         rows = [("table", n, n, ", ".join(f"{c.name} {c.type}" for c in t.columns)) for n, t in state.tables.items()]

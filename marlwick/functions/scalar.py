@@ -390,10 +390,6 @@ def register(spark: SparkSession) -> None:
     def edit(name: pd.Series, text: pd.Series, changes: pd.Series) -> pd.Series:
         return pd.Series([json_paths.edit(n, t, None if c is None else list(c)) for n, t, c in zip(name, text, changes, strict=True)], dtype=object)
 
-    @pandas_udf("string")
-    def casefold(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else t.casefold())
-
-    for name, f in (("dialect_json_extract", extract), ("dialect_json_type", kind), ("dialect_json_edit", edit), ("dialect_casefold", casefold)):
+    for name, f in (("dialect_json_extract", extract), ("dialect_json_type", kind), ("dialect_json_edit", edit)):
         spark.udf.register(name, f)
     spark._marlwick_functions = True

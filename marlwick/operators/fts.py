@@ -1,15 +1,17 @@
 """Full-text search: tokens, boolean queries, BM25 ranks and snippets.
 
-A query is evaluated on each document's token array with built-in array
-functions: term and phrase counts, then the boolean form. Only the totals that
-BM25 needs (documents, mean length, documents with each term) are aggregated,
-so a search is two scans and no shuffle of documents.
+A full-text table has a stored index beside each part: postings in order of term,
+so that a search reads the row groups of its terms only, and shuffles nothing but
+their postings. Without an index, a query is evaluated on each document's token
+array with built-in array functions, in two scans and with no shuffle of documents.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,9 +54,29 @@ def parse(query: str) -> list[list[Term]]:
     return [g for g in groups if any(not t.negated for t in g)]
 
 
+@cache
+def folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Of the characters that lower() leaves alone, those that a full case fold changes: into one, and into several."""
+    found = {c: c.casefold() for c in map(chr, range(128, sys.maxunicode + 1)) if c.lower() == c != c.casefold()}
+    return {c: f for c, f in found.items() if len(f) == 1}, {c: f for c, f in found.items() if len(f) > 1}
+
+
+def folded(text: Column) -> Column:
+    """The full case fold of a text, in the JVM: lower() and then, where a text has any, the characters that need more.
+
+    Letters newer than the JVM's Unicode stay as they are.
+    """
+    single, several = folds()
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # the common one
+    moved = F.when(low.rlike(f"[{''.join(single)}]"), F.translate(low, "".join(single), "".join(single.values()))).otherwise(low)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelt = F.array_join(F.transform(F.split(moved, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(moved.rlike(f"[{''.join(several)}]"), spelt).otherwise(moved)
+
+
 def tokens(text: Column) -> Column:
-    """Case-folded words of a text. The full case fold is vectorised Python; plain ASCII needs only lower()."""
-    return F.regexp_extract_all(F.call_function("dialect_casefold", text), F.lit(WORD), F.lit(0))
+    """Case-folded words of a text."""
+    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
 def postings(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -72,21 +94,30 @@ def count(term: Term, of: str) -> str:
     return f"CASE WHEN size({of}) >= {len(term.words)} THEN size(filter(sequence(1, size({of}) - {len(term.words) - 1}), i -> slice({of}, i, {len(term.words)}) = {phrase})) ELSE 0 END"
 
 
-def search(df: DataFrame, columns: list[str], query: str, keep: list[str]) -> DataFrame:
-    """Matching rows with ``keep`` and their BM25 rank over all ``columns``, best for high values."""
+def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows to write for ``df``: a term, the document's key and length, and the term's places, in order of term.
+
+    Ranges are cut by term and key, so a term in most documents is spread over
+    files. A document without words has a row with a null term.
+    """
+    held = df.select(key, tokens(F.concat_ws("\n", *columns)).alias("_tokens"))
+    places = held.select(key, F.size("_tokens").alias("len"), F.posexplode_outer("_tokens").alias("pos", "term"))
+    # The ranges are also what the grouping wants, so words are shuffled once.
+    grouped = places.repartitionByRange("term", key).groupBy("term", key).agg(F.first("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("places"))
+    return grouped.sortWithinPartitions("term", key)
+
+
+def asked(query: str) -> tuple[list[list[Term]], list[Term]]:
+    """A query's groups, and its terms in a fixed order."""
     groups = parse(query)
-    terms = sorted({t for g in groups for t in g}, key=lambda t: (t.words, t.prefix, t.negated))
-    text = F.concat_ws("\n", *columns)
-    held = df.select(*keep, tokens(text).alias("_tokens"))
-    counted = held.select(
-        *keep, F.size("_tokens").alias("_len"), *(F.expr(count(t, "_tokens")).alias(f"_tf{i}") for i, t in enumerate(terms))
-    )
-    if not groups:
-        return counted.where(F.lit(False)).select(*keep, F.lit(0.0).alias("rank"))
-    total = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"),
-        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))),
-    ).first()
+    return groups, sorted({t for g in groups for t in g}, key=lambda t: (t.words, t.prefix, t.negated))
+
+
+def ranked(counted: DataFrame, groups: list[list[Term]], terms: list[Term], total) -> DataFrame:
+    """Of rows with ``_len`` and a count ``_tf`` for each term, those that a query matches, and their rank.
+
+    ``total`` has n (documents), mean (their length) and df0, df1, ... (documents with each term).
+    """
     where = None
     for g in groups:
         part = None
@@ -99,27 +130,97 @@ def search(df: DataFrame, columns: list[str], query: str, keep: list[str]) -> Da
     for i, t in enumerate(terms):
         if not t.negated:
             tf, n = F.col(f"_tf{i}"), total[f"df{i}"]
-            idf = F.log(F.lit((total.n - n + 0.5) / (n + 0.5) + 1))
-            rank = rank + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(float(total.mean or 1))))
-    return counted.where(where).select(*keep, rank.alias("rank"))
+            idf = F.log(F.lit((total["n"] - n + 0.5) / (n + 0.5) + 1))
+            rank = rank + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(float(total["mean"] or 1))))
+    return counted.where(where).withColumn("rank", rank)
+
+
+def search(df: DataFrame, columns: list[str], query: str, keep: list[str]) -> DataFrame:
+    """Matching rows with ``keep`` and their BM25 rank over all ``columns``, best for high values; no index is wanted."""
+    groups, terms = asked(query)
+    text = F.concat_ws("\n", *columns)
+    held = df.select(*keep, tokens(text).alias("_tokens"))
+    counted = held.select(
+        *keep, F.size("_tokens").alias("_len"), *(F.expr(count(t, "_tokens")).alias(f"_tf{i}") for i, t in enumerate(terms))
+    )
+    if not groups:
+        return counted.where(F.lit(False)).select(*keep, F.lit(0.0).alias("rank"))
+    total = counted.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean"),
+        *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))),
+    ).first()
+    return ranked(counted, groups, terms, total).select(*keep, "rank")
+
+
+def search_index(found: DataFrame, key: str, query: str, docs: int, length: int) -> DataFrame:
+    """Keys and ranks of the documents that a query matches, from rows of ``index`` over ``docs`` documents of ``length`` words in all."""
+    groups, terms = asked(query)
+    if not groups:
+        return found.where(F.lit(False)).select(key, F.lit(0.0).alias("rank"))
+    wanted, counts = F.lit(False), []
+    for i, t in enumerate(terms):
+        if t.prefix:
+            hit = F.col("term").startswith(t.words[0])
+            counts.append(F.sum(F.when(hit, F.size("places")).otherwise(0)).alias(f"_tf{i}"))
+        elif len(t.words) == 1:
+            hit = F.col("term") == t.words[0]
+            counts.append(F.sum(F.when(hit, F.size("places")).otherwise(0)).alias(f"_tf{i}"))
+        else:
+            hit = F.col("term").isin(*t.words)
+            # A phrase begins at the places that all its words share, each moved back by its number in the phrase.
+            begins = [
+                F.coalesce(F.max(F.when(F.col("term") == w, F.expr(f"transform(places, p -> p - {j})"))), F.array().cast("array<int>"))
+                for j, w in enumerate(t.words)
+            ]
+            both = begins[0]
+            for b in begins[1:]:
+                both = F.array_intersect(both, b)
+            counts.append(F.size(both).alias(f"_tf{i}"))
+        wanted = wanted | hit
+    counted = found.where(wanted).groupBy(key).agg(F.first("len").alias("_len"), *counts)
+    total = counted.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first().asDict()
+    return ranked(counted, groups, terms, total | {"n": docs, "mean": length / docs if docs else 0}).select(key, "rank")
+
+
+def window(hits: list[tuple[int, str]], sentences: list[int], n: int, size: int) -> int:
+    """Where the best n words of a text of ``size`` begin.
+
+    A window scores 1000 for every different wanted word and 1 for every further
+    one. Windows begin at a wanted word, and are then moved so that their hits
+    stand in the middle, or at the sentence before it, for 120 more if that is
+    the first and 100 if not. The first of the best wins.
+    """
+    def score(begin: int) -> tuple[int, int]:
+        seen = [(p, w) for p, w in hits if begin <= p < begin + n]
+        kinds = len({w for _, w in seen})
+        last = seen[-1][0] + 1 if seen else begin
+        return 1000 * kinds + len(seen) - kinds, last
+
+    best, where = 0, 0
+    for p, _ in hits:
+        points, last = score(p)
+        if points > best:
+            best, where = points, max(0, min(p - (n - (last - p)) // 2, size - n))
+        before = max((s for s in sentences if s <= p), default=p)
+        if before < p:
+            points = score(before)[0] + (120 if before == 0 else 100)
+            if points > best:
+                best, where = points, before
+    return where
 
 
 def snippet_of(text: str | None, wanted: tuple[tuple[str, bool], ...], begin: str, end: str, dots: str, n: int) -> str | None:
-    """The n words with the most different wanted ones (then the most, then the first), with marks around them."""
+    """The best n words of a text, with marks around the wanted ones; the first n where there are none."""
     import regex
 
     if text is None:
         return None
     found = [(m.start(), m.end(), m[0].casefold()) for m in regex.finditer(WORD, text)]
     hit = [next((w for w, prefix in wanted if t == w or prefix and t.startswith(w)), None) for _, _, t in found]
-    starts = [0, *(i for i in range(1, len(found)) if hit[i] or text[found[i - 1][1]:found[i][0]].strip()[:1] in (".", "!", "?"))]
-    best, where = (-1, -1), 0
-    for i in starts:
-        part = [h for h in hit[i:i + n] if h]
-        if (len(set(part)), len(part)) > best:
-            best, where = (len(set(part)), len(part)), i
+    sentences = [0, *(i for i in range(1, len(found)) if text[found[i - 1][1]:found[i][0]].rstrip().endswith((".", ":")))]
+    where = window([(i, h) for i, h in enumerate(hit) if h], sentences, n, len(found))
     last = min(len(found), where + n)
-    out, at = [], found[where][0] if found and where else 0
+    out, at = [], found[where][0] if where else 0
     for (a, b, _), h in zip(found[where:last], hit[where:last], strict=True):
         out.append(text[at:a] + (f"{begin}{text[a:b]}{end}" if h else text[a:b]))
         at = b
@@ -148,7 +249,7 @@ def matched(engine, sql: str, params: dict) -> DataFrame | None:
     if t is None or not t.fts:
         raise DialectError(f"{name} isn't a full-text table")
     text = params[q.where[2][1]] if q.where[2][0] == "param" else q.where[2][1][1:-1].replace("''", "'")
-    found = search(engine.store.rows(name), t.names(), text, ["_rowid", *t.names()])
+    found = search_index(engine.store.terms(name), "_rowid", text, *engine.store.words(name))
     out = []
     for node, alias in q.items:
         if node == ("star",):
@@ -163,10 +264,11 @@ def matched(engine, sql: str, params: dict) -> DataFrame | None:
             out.append(snippet(column, text, *marks, int(args[5][1])).alias(alias or "snippet"))
         else:
             raise DialectError("a full-text query gives columns, rank and snippets")
-    if q.order:
-        found = found.orderBy(F.desc("rank") if q.order[0][0] == ("col", None, "rank") else F.col(f"`{q.order[0][0][2]}`"), "_rowid")
-    else:
-        found = found.orderBy(F.desc("rank"), "_rowid")
+    by_rank = not q.order or q.order[0][0] == ("col", None, "rank")
+    if by_rank and q.limit is not None:  # only the rows that are given are looked up
+        found = found.orderBy(F.desc("rank"), "_rowid").limit(q.limit + (q.offset or 0))
+    found = found.join(engine.store.rows(name), "_rowid")
+    found = found.orderBy(F.desc("rank") if by_rank else F.col(f"`{q.order[0][0][2]}`"), "_rowid")
     if q.limit is not None:
         found = found.limit(q.limit + (q.offset or 0)).offset(q.offset or 0)
     return found.select(*out)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-#: ANSI mode makes overflow and division by zero raise; UTC makes timestamps plain.
+#: ANSI mode makes overflow and division by zero raise; UTC makes timestamps plain. A recursion ends when it brings no new rows.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.cteRecursionLevelLimit": "-1",
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
