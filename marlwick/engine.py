@@ -92,6 +92,8 @@ class Engine:
         self.active = "main"  # the database that statements go to
         self.hooks: list[tuple[str, str, str, Callable[[DataFrame], None]]] = []
         self.callbacks: dict[str, list[Callable[[DataFrame], None]]] = {}
+        self.generations: dict[str, int] = {}  # of each reactive view that this handle made, a number that only grows
+        self.made = 0
         self.counters = {"changes": 0, "total_changes": 0, "last_insert_rowid": 0}
         self.firing: list[str] = []  # the triggers that run now, the outermost first
 
@@ -403,6 +405,8 @@ class Engine:
     def _do_create_reactive(self, st, params):
         if self._new(st["name"], False):
             ivm.create(self, st["name"], st["sql"], st["mode"])
+            self.made += 1
+            self.generations[st["name"]] = self.made
             self.store.changed()
 
     def _do_drop(self, st, params):
@@ -418,6 +422,8 @@ class Engine:
         if st["what"] == "reactive":
             s.tables.pop(f"_rv_{st['name']}", None)
             s.views.pop(st["name"], None)
+            self.callbacks.pop(st["name"], None)
+            self.generations.pop(st["name"], None)
         self.store.changed()
 
     def _do_alter(self, st, params):
@@ -948,7 +954,7 @@ class Engine:
 
     # -- sinks
     def dump(self, schema_only: bool = False, data_only: bool = False) -> Iterator[str]:
-        """CREATE and INSERT statements, pulled one partition at a time."""
+        """Statements that make the database again, rows pulled one partition at a time; indexes, views and triggers follow the rows."""
         name = lambda n: '"' + n.replace('"', '""') + '"'
 
         def literal(v) -> str:
@@ -958,18 +964,69 @@ class Engine:
                 return f"X'{bytes(v).hex().upper()}'"
             return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
-        kinds = {"int": "INTEGER", "real": "REAL", "text": "TEXT", "blob": "BLOB"}
-        for n, t in self.store.state.tables.items():
+        state = self.store.state
+        tables = {n: t for n, t in state.tables.items() if not (n.startswith("_rv_") and n[4:] in state.reactive)}
+        for n in self._parents_first(tables):
+            t = tables[n]
             if not data_only:
-                parts = [f"{name(c.name)} {kinds[c.type]}" + " NOT NULL" * c.not_null + (f" DEFAULT {c.default}" if c.default else "") + (f" CHECK ({c.check})" if c.check else "") for c in t.columns]
-                parts += [("PRIMARY KEY (" if i == 0 and any(c.key for c in t.columns) else "UNIQUE (") + ", ".join(map(name, k)) + ")" for i, k in enumerate(t.keys)]
-                yield f"CREATE TABLE {name(n)} ({', '.join(parts)});"
+                yield self._definition(n, t)
             if not schema_only:
-                for row in self.store.rows(n).orderBy(ROWID).drop(ROWID).toLocalIterator():
-                    yield f"INSERT INTO {name(n)} VALUES ({', '.join(map(literal, row))});"
-        if not data_only:
-            for n, sql in self.store.state.views.items():
+                own = [c.name for c in t.columns if not c.generated]
+                into = name(n) + (f" ({', '.join(map(name, own))})" if len(own) < len(t.columns) else "")
+                for row in self.store.rows(n).orderBy(ROWID).select(*(F.col(f"`{c}`") for c in own)).toLocalIterator():
+                    yield f"INSERT INTO {into} VALUES ({', '.join(map(literal, row))});"
+        if data_only:
+            return
+        for n, t in tables.items():
+            for i, x in t.indexes.items():
+                yield f"CREATE {'UNIQUE ' * x['unique']}INDEX {name(i)} ON {name(n)} ({', '.join(x['exprs'])})" + (f" WHERE {x['where']}" if x["where"] else "") + ";"
+        for n, sql in state.views.items():
+            if n not in state.reactive:
                 yield f"CREATE VIEW {name(n)} AS {sql};"
+        for n, x in state.reactive.items():
+            yield f"CREATE REACTIVE VIEW {name(n)} AS {x['sql']} REFRESH {x['mode']};"
+        for n, x in state.triggers.items():
+            timing = "INSTEAD OF" if x["timing"] == "INSTEAD" else x["timing"]
+            when = f"WHEN {x['when']} " if x["when"] else ""
+            yield f"CREATE TRIGGER {name(n)} {timing} {x['event']} ON {name(x['table'])} {when}BEGIN {' '.join(f'{b};' for b in x['body'])} END;"
+
+    def _parents_first(self, tables: dict[str, Table]) -> list[str]:
+        """Names of tables, each after those that its foreign keys name; a cycle is cut where it is met."""
+        out: dict[str, None] = {}
+
+        def visit(n: str, above: tuple[str, ...]) -> None:
+            for c in tables[n].columns:
+                if c.references and c.references[0] in tables and c.references[0] not in (*above, n):
+                    visit(c.references[0], (*above, n))
+            out.setdefault(n)
+
+        for n in tables:
+            visit(n, ())
+        return list(out)
+
+    def _definition(self, n: str, t: Table) -> str:
+        name = lambda x: '"' + x.replace('"', '""') + '"'
+        if t.fts:
+            return f"CREATE VIRTUAL TABLE {name(n)} USING fts5({', '.join(map(name, t.names()))});"
+        kinds = {"int": "INTEGER", "real": "REAL", "text": "TEXT", "blob": "BLOB"}
+        parts, keys = [], list(t.keys)
+        for c in t.columns:
+            part = f"{name(c.name)} {kinds[c.type]}"
+            if c.auto:
+                part += " PRIMARY KEY AUTOINCREMENT"
+                keys.remove([c.name])
+            else:
+                part += " NOT NULL" * c.not_null
+            part += (f" DEFAULT {c.default}" if c.default else "") + (f" CHECK ({c.check})" if c.check else "")
+            part += f" GENERATED ALWAYS AS ({c.generated})" if c.generated else ""
+            if c.references:
+                table, column, delete, update = c.references
+                part += f" REFERENCES {name(table)}" + (f" ({name(column)})" if column else "") + f" ON DELETE {delete} ON UPDATE {update}"
+            parts.append(part)
+        primary = any(c.key and not c.auto for c in t.columns)
+        parts += [("PRIMARY KEY (" if i == 0 and primary else "UNIQUE (") + ", ".join(map(name, k)) + ")" for i, k in enumerate(keys)]
+        parts += [f"CHECK ({x})" for x in t.checks]
+        return f"CREATE TABLE {name(n)} ({', '.join(parts)})" + " USING COLUMNSTORE" * t.columnar + ";"
 
 
 def _excluded(node):

@@ -80,6 +80,11 @@ def a12(spark, sf_dir):
     return spark.createDataFrame([(line,) for line in db.dump(data_only=True)], "line string")
 
 
+@frame("a11_pull_sink", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def a11(spark, sf_dir):
+    return spark.createDataFrame(list(engine(spark, sf_dir).rows("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")), "n_nationkey long, n_name string")
+
+
 # ---- B: projection, filters, expressions -------------------------------------------------------
 dialect("b1_filter", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 dialect("b2_projection", "SELECT n_name, n_regionkey FROM nation")
@@ -204,6 +209,9 @@ dialect("e10_rows_frames", "SELECT event_id, SUM(user_id) OVER (PARTITION BY eve
 dialect("e12_default_frame", "SELECT event_id, SUM(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS running, SUM(user_id) OVER (PARTITION BY event_type) AS total FROM events",
         "SELECT event_id, CAST(SUM(user_id) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running, CAST(SUM(user_id) OVER (PARTITION BY event_type) AS BIGINT) AS total FROM events")
 
+dialect("e10_range_frames", "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders",
+        "SELECT o_orderkey, ROUND(SUM(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s FROM orders")
+
 # ---- F: order, limit, distinct -----------------------------------------------------------------
 dialect("f1_sort", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 dialect("f2_order_names", "SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey ORDER BY 2 DESC, k LIMIT 5")
@@ -254,6 +262,8 @@ def _written(df: DataFrame, _store, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+dialect("g8_recursive_deep", "WITH RECURSIVE f AS (SELECT 0 AS i, 0 AS v UNION ALL SELECT i + 1, v + i FROM f WHERE i < 150) SELECT i, v FROM f",
+        "WITH RECURSIVE f(i, v) AS (SELECT 0::BIGINT, 0::BIGINT UNION ALL SELECT i + 1, v + i FROM f WHERE i < 150) SELECT i, v FROM f")
 dialect("g9_derived", "SELECT t.k, t.n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) AS t WHERE t.n > 15")
 
 # ---- H: scalar functions -----------------------------------------------------------------------
@@ -468,6 +478,81 @@ def j11(spark, sf_dir):
     return _loaded(spark, sf_dir, _LOAD).query("PRAGMA table_info(cust)").drop("dflt_value")
 
 
+@frame("j4_drop", "SELECT * FROM (VALUES ('table', 'kept'), ('index', 'kept_i')) AS v(type, name)")
+def j4(spark, sf_dir):
+    db = Engine(spark)
+    for sql in ("CREATE TABLE kept (a INTEGER, b TEXT)", "CREATE INDEX kept_i ON kept (a)", "CREATE INDEX gone_i ON kept (b)", "CREATE TABLE gone (a INTEGER)", "CREATE VIEW v AS SELECT a FROM kept",
+                "CREATE TRIGGER g AFTER INSERT ON kept BEGIN DELETE FROM gone; END", "DROP INDEX gone_i", "DROP TRIGGER g", "DROP VIEW v", "DROP TABLE gone", "DROP TABLE IF EXISTS gone"):
+        db.execute(sql)
+    return db.query("SELECT type, name FROM sqlite_master")
+
+
+@frame("j6_index", "SELECT * FROM (VALUES (0, 'by_low', 1), (1, 'by_bal', 0)) AS v(seq, name, \"unique\")")
+def j6(spark, sf_dir):
+    """An expression index that is unique among some rows, and a plain one."""
+    db = _loaded(spark, sf_dir, _LOAD)
+    db.execute("CREATE UNIQUE INDEX by_low ON cust (LOWER(name)) WHERE bal > 0")
+    db.execute("CREATE INDEX by_bal ON cust (bal)")
+    return db.query("PRAGMA index_list(cust)")
+
+
+@frame("j10_transaction", "SELECT COUNT(*) AS n FROM customer WHERE c_acctbal >= 0")
+def j10(spark, sf_dir):
+    """What one transaction does stays; what another does, which fails, doesn't."""
+    db = _loaded(spark, sf_dir, _LOAD)
+    with db.transaction():
+        db.execute("DELETE FROM cust WHERE bal < 0")
+    try:
+        with db.transaction():
+            db.execute("DELETE FROM cust")
+            raise KeyError
+    except KeyError:
+        return db.query("SELECT COUNT(*) AS n FROM cust")
+
+
+@frame("j12_explain_rows", "SELECT 'root' AS node, COUNT(*) AS n FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'scan', COUNT(*) FROM customer")
+def j12_rows(spark, sf_dir):
+    """EXPLAIN ANALYZE counts the rows of every operator: here the root's, and those of the scan below."""
+    found = engine(spark, sf_dir).query("EXPLAIN ANALYZE SELECT c_custkey FROM customer WHERE c_acctbal + 0 > 0")
+    kind = F.when(F.col("parent") == -1, "root").when(F.col("detail").startswith("FileScan"), "scan")
+    return found.select(kind.alias("node"), F.col("rows").alias("n")).where("node IS NOT NULL")
+
+
+@frame("j13_attach", "SELECT 'main' AS db, COUNT(*) AS n FROM customer UNION ALL SELECT 'other', COUNT(*) FROM customer WHERE c_acctbal > 0")
+def j13(spark, sf_dir):
+    """Statements go to the active database, which has tables of its own."""
+    db = _loaded(spark, sf_dir, _LOAD)
+    db.execute(f"ATTACH '{db.store.root}/_other' AS other")
+    db.attached["other"].register("src", lambda: table(spark, sf_dir, "customer"))
+    db.execute("PRAGMA active_database = other")
+    db.execute("CREATE TABLE cust (id INTEGER PRIMARY KEY)")
+    db.execute("INSERT INTO cust SELECT c_custkey FROM src WHERE c_acctbal > 0")
+    there = db.query("SELECT 'other' AS db, COUNT(*) AS n FROM cust")
+    db.execute("PRAGMA active_database = main")
+    return db.query("SELECT 'main' AS db, COUNT(*) AS n FROM cust").unionAll(there)
+
+
+@frame("j14_vacuum", f"SELECT 1 AS parts, id, bal FROM ({_CUST}) WHERE NOT coalesce(bal < 0, false)")
+def j14(spark, sf_dir):
+    db = _loaded(spark, sf_dir, f"{_LOAD} WHERE c_acctbal > 5000")
+    db.execute(f"INSERT INTO cust {_LOAD} WHERE c_acctbal <= 5000 OR c_acctbal IS NULL")
+    db.execute("DELETE FROM cust WHERE bal < 0")
+    db.execute("VACUUM")
+    return db.query("SELECT id, bal FROM cust").select(F.lit(len(db.store.state.tables["cust"].parts)).alias("parts"), "id", "bal")
+
+
+@frame("j16_statistics", "SELECT COUNT(*) AS rows_examined, COUNT(DISTINCT o_custkey) AS rows_returned FROM orders")
+def j16(spark, sf_dir):
+    cost = engine(spark, sf_dir).stats("SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+    return spark.createDataFrame([(cost.rows_examined, cost.rows_returned)], "rows_examined long, rows_returned long")
+
+
+@frame("j17_prepared", "SELECT c_custkey, c_mktsegment FROM customer WHERE (c_acctbal > 5000 AND c_mktsegment = 'BUILDING') OR (c_acctbal > 0 AND c_mktsegment = 'MACHINERY')")
+def j17(spark, sf_dir):
+    made = engine(spark, sf_dir).prepare("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > :low AND c_mktsegment = :seg")
+    return made(low=5000, seg="BUILDING").unionAll(made(low=0, seg="MACHINERY"))
+
+
 @frame("j12_explain")
 def j12(spark, sf_dir):
     return engine(spark, sf_dir).query("EXPLAIN ANALYZE SELECT COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -511,6 +596,17 @@ def l9(spark, sf_dir):
     return feed.select("_op", "old_id", "old_bal", "new_bal")
 
 
+@frame("l10_callbacks", "SELECT c_mktsegment AS seg, COUNT(*) AS n, -1 AS _w FROM customer GROUP BY c_mktsegment HAVING COUNT(*) FILTER (WHERE c_acctbal < 0) > 0 UNION ALL SELECT c_mktsegment, COUNT(*) FILTER (WHERE coalesce(c_acctbal >= 0, true)), 1 FROM customer GROUP BY c_mktsegment HAVING COUNT(*) FILTER (WHERE c_acctbal < 0) > 0")
+def l10(spark, sf_dir):
+    """What a view's callback is told of a deletion: old rows with weight -1, new ones with 1."""
+    db, told = _loaded(spark, sf_dir, _LOAD), []
+    db.execute("CREATE REACTIVE VIEW v AS SELECT seg, COUNT(*) AS n FROM cust GROUP BY seg REFRESH DELTA")
+    end = ivm.on_change(db, "v", told.append, ivm.generation(db, "v"))
+    db.execute("DELETE FROM cust WHERE bal < 0")
+    end()
+    return told[0].select("seg", "n", "_w")
+
+
 # ---- K: full-text search ------------------------------------------------------------------------
 def _tokens(c: str) -> str:
     return rf"regexp_extract_all(replace(lower({c}), 'ß', 'ss'), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}]+')"
@@ -557,6 +653,48 @@ def k6(spark, sf_dir):
     return found.select("doc_id", fts.snippet("text", "trash", "<b>", "</b>", "...", 8).alias("snippet"))
 
 
+_libraries: dict[tuple, Engine] = {}
+
+
+def _library(spark: SparkSession, sf_dir: str) -> Engine:
+    """A database with all documents in a full-text table, made once for a folder; the searches then read its index."""
+    key = (id(spark), sf_dir)
+    if key not in _libraries:
+        db = Engine(spark)
+        db.register("src", lambda: table(spark, sf_dir, "documents"))
+        db.execute("CREATE VIRTUAL TABLE docs USING fts5(doc_id, text)")
+        db.execute("INSERT INTO docs SELECT CAST(doc_id AS TEXT), text FROM src")
+        _libraries[key] = db
+    return _libraries[key]
+
+
+# The id is a column of the table, and so one more word of a document.
+_MATCHED = _SCORE.replace("SELECT doc_id, len(w) AS n", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, len(w) + 1 AS n")
+
+
+@frame("k4_match_sql", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM ({ORACLE_SQL['k3_match']}) UNION ALL SELECT 'phrase ' || doc_id FROM ({ORACLE_SQL['k3_phrase']})")
+def k4(spark, sf_dir):
+    db = _library(spark, sf_dir)
+    phrase = db.query("SELECT doc_id FROM docs WHERE docs MATCH '\"licensed under\"'")
+    return db.query("SELECT doc_id FROM docs WHERE docs MATCH 'trash -worthless OR licens*'").unionAll(phrase.select(F.concat(F.lit("phrase "), "doc_id")))
+
+
+@frame("k5_bm25_index", _MATCHED)
+def k5_index(spark, sf_dir):
+    return _library(spark, sf_dir).query("SELECT doc_id, rank FROM docs WHERE docs MATCH 'thing OR trash'").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@frame("k7_fts_delete", _MATCHED.replace("FROM documents)", "FROM documents WHERE text NOT LIKE '%worthless%')"))
+def k7(spark, sf_dir):
+    """Ranks after rows have gone: the totals are those of the rows left."""
+    db = Engine(spark)
+    db.register("src", lambda: table(spark, sf_dir, "documents"))
+    db.execute("CREATE VIRTUAL TABLE docs USING fts5(doc_id, text)")
+    db.execute("INSERT INTO docs SELECT CAST(doc_id AS TEXT), text FROM src")
+    db.execute("DELETE FROM docs WHERE text LIKE '%worthless%'")
+    return db.query("SELECT doc_id, rank FROM docs WHERE docs MATCH 'thing OR trash'").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 # ---- TPC-H shapes ------------------------------------------------------------------------------
 Q1 = """SELECT l_returnflag, l_linestatus, SUM(l_quantity) AS sum_qty, round(SUM(l_extendedprice), 2) AS sum_base, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
     round(SUM(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(AVG(l_quantity), 6) AS avg_qty, round(AVG(l_extendedprice), 4) AS avg_price, round(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS n

@@ -155,10 +155,38 @@ def _store(engine, name: str, rows: DataFrame) -> None:
     engine.store.put(f"_rv_{name}", engine._fixed(rows.withColumn("_rowid", F.monotonically_increasing_id())), replace=True)
 
 
-def on_change(engine, view: str, f: Callable[[DataFrame], None]) -> Callable[[], None]:
-    """Call ``f`` with each weighted change of the view's rows; the function returned ends that."""
-    engine.callbacks.setdefault(view, []).append(f)
-    return lambda: engine.callbacks[view].remove(f)
+def generation(engine, view: str) -> int:
+    """A number that tells this handle's incarnations of a view's name apart; 0 for one that was there when it was opened."""
+    if view not in engine.store.state.reactive:
+        raise DialectError(f"no such reactive view: {view}")
+    return engine.generations.get(view, 0)
+
+
+def on_change(engine, view: str, f: Callable[[DataFrame], None], expected: int | None = None) -> Callable[[], str]:
+    """Call ``f`` with each weighted change of the view's rows; the function returned ends that.
+
+    With ``expected`` it fails if the view was made anew since. The function
+    returned says what it met: ``removed``, ``not registered``, ``stale
+    generation`` (another view has the name now) or ``unknown view``. Who is
+    called is settled when a statement's changes begin to be told.
+    """
+    made = generation(engine, view)
+    if expected is not None and expected != made:
+        raise DialectError(f"{view} is of generation {made}")
+    held = lambda z: f(z)  # noqa: E731  # the same function may be registered twice
+    engine.callbacks.setdefault(view, []).append(held)
+
+    def end() -> str:
+        if view not in engine.store.state.reactive:
+            return "unknown view"
+        if generation(engine, view) != made:
+            return "stale generation"
+        if held not in engine.callbacks.get(view, []):
+            return "not registered"
+        engine.callbacks[view].remove(held)
+        return "removed"
+
+    return end
 
 
 def flush(engine, table: str, feed: DataFrame) -> None:
@@ -166,7 +194,7 @@ def flush(engine, table: str, feed: DataFrame) -> None:
     for name, x in engine.store.state.reactive.items():
         if table not in x["tables"]:
             continue
-        listeners = engine.callbacks.get(name, [])
+        listeners = list(engine.callbacks.get(name, []))
         before = engine._fixed(engine._run(f"SELECT * FROM {name}", engine.store.state, {})) if listeners else None
         if x["mode"] == "DELTA":
             columns = list(dict.fromkeys(c for c in (x["group"], x["measure"]) if c))
