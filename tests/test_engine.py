@@ -426,3 +426,51 @@ def test_attached_databases_are_apart(spark, tmp_path):
         with pytest.raises(DialectError):
             db.execute(sql)
     assert Engine(spark, str(tmp_path)).query("SELECT n FROM t").first().n == 10
+
+
+@pytest.mark.parametrize(("text", "wanted", "n", "out"), [
+    ("foo food foobar football", ("foo", True), 8, "[foo] [food] [foobar] [football]"),
+    ("foo a b c d e f", ("foo", False), 3, "[foo] a b..."),
+    ("a b c d e foo", ("foo", False), 3, "...d e [foo]"),
+    ("aaa bbb ccc foo a b c d e f g h i j foo bar foo baz qux", ("foo", False), 4, "aaa bbb ccc [foo]..."),
+    ("w1 w2 w3 w4 w5 w6 w7 w8 w9 wa wb wc wd we wf foo bar foo baz qux", ("foo", False), 5, "...wf [foo] bar [foo] baz..."),
+    ("learn programming here today", ("ocaml", False), 3, "learn programming here..."),
+    ("", ("x", False), 3, ""),
+])
+def test_snippets(text, wanted, n, out):
+    assert fts.snippet_of(text, (wanted,), "[", "]", "...", n) == out
+
+
+def test_an_index_finds_what_a_scan_finds(db):
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(title, body)")
+    db.execute("INSERT INTO f VALUES ('One', 'a b a b c'), ('Two', 'b a. B A!'), ('ΑΣ', 'ﬁne straße'), (NULL, ''), ('Six', 'ab abc')")
+    db.execute("INSERT INTO f VALUES ('One', 'a b a b c')")
+    for q in ('a', '"a b"', '"a b a"', 'ab* -abc', 'FINE OR strasse', 'ας', 'a -c OR six', '-a', 'none'):
+        found = {(r.title, round(r.rank, 9)) for r in db.query(f"SELECT title, rank FROM f WHERE f MATCH '{q}'").collect()}
+        scan = fts.search(db.store.rows("f"), ["title", "body"], q, ["title"])
+        assert found == {(r.title, round(r["rank"], 9)) for r in scan.collect()}, q
+
+
+def test_dump_makes_the_database_again(spark, tmp_path):
+    from marlwick.__main__ import Shell
+
+    db = Engine(spark, str(tmp_path / "a"))
+    for sql in (
+        "CREATE TABLE c (id INTEGER PRIMARY KEY AUTOINCREMENT, pid INTEGER REFERENCES p (id) ON DELETE CASCADE, twice INTEGER GENERATED ALWAYS AS (pid * 2))",
+        "CREATE TABLE p (id INTEGER PRIMARY KEY, name TEXT CHECK (LENGTH(name) < 9), UNIQUE (name))",
+        "INSERT INTO p VALUES (1, 'it''s'), (2, NULL)", "INSERT INTO c (pid) VALUES (2), (1)",
+        "CREATE UNIQUE INDEX low ON p (LOWER(name)) WHERE id > 0", "CREATE VIEW v AS SELECT id FROM c",
+        "CREATE TRIGGER g AFTER INSERT ON p WHEN new.id > 5 BEGIN DELETE FROM c; END",
+    ):
+        db.execute(sql)
+    lines = list(db.dump())
+    shell = Shell(spark, str(tmp_path / "b"))
+    assert list(shell.answers(f"{x}\n" for x in lines)) == []
+    assert list(shell.db.dump()) == lines
+    assert list(shell.answers([".tables\n", "SELECT id, pid,\n", "twice FROM c ORDER BY id;\n", "nonsense;\n"]))[:6] == ["c", "p", "v", "id|pid|twice", "1|2|4", "2|1|2"]
+
+
+def test_prepared_slots(db):
+    made = db.prepare("SELECT :low + ? AS a, :seg AS b")
+    assert made.param_slot("seg") == 2 and made.param_slot(":low") == 0 and made.param_slot("x") is None
+    assert made.params_of_named({"seg": 1, "x": 2}) == {"low": None, "seg": 1}
