@@ -139,7 +139,8 @@ def search(df: DataFrame, columns: list[str], query: str, keep: list[str]) -> Da
     """Matching rows with ``keep`` and their BM25 rank over all ``columns``, best for high values; no index is wanted."""
     groups, terms = asked(query)
     text = F.concat_ws("\n", *columns)
-    held = df.select(*keep, tokens(text).alias("_tokens"))
+    # A generator keeps the optimizer from copying the words' expression to every place that reads them.
+    held = df.select(*keep, F.explode(F.array(tokens(text))).alias("_tokens"))
     counted = held.select(
         *keep, F.size("_tokens").alias("_len"), *(F.expr(count(t, "_tokens")).alias(f"_tf{i}") for i, t in enumerate(terms))
     )
