@@ -55,6 +55,15 @@ def test_division_by_zero_raises(db):
         db.query("SELECT 1/0").collect()
 
 
+def test_recursion_without_the_session_factory_settings(spark, tmp_path):
+    plain = spark.newSession()
+    for limit in ("Level", "Row"):
+        plain.conf.set(f"spark.sql.cteRecursion{limit}Limit", "100")
+    db = Engine(plain, str(tmp_path / "db"))
+    got = rows(db, "WITH RECURSIVE f AS (SELECT 0 AS i, 0 AS v UNION ALL SELECT i + 1, v + i FROM f WHERE i < 150) SELECT i, v FROM f")
+    assert sorted(got) == [(i, i * (i - 1) // 2) for i in range(151)]
+
+
 def test_constraints(db):
     db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, u TEXT UNIQUE, n INTEGER NOT NULL CHECK (n > 0))")
     db.execute("INSERT INTO t VALUES (1, 'a', 1), (2, NULL, 2), (3, NULL, 3)")
