@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -449,6 +450,36 @@ def test_best_fit_is_near_the_bound():
     assert len({(b, o) for b, o in zip(bins, offsets, strict=True)}) == len(sizes)
 
 
+def test_best_fit_on_counts_is_best_fit():
+    r = random.Random(3)
+    for _ in range(60):
+        capacity = r.choice([8, 16, 64, 1024])
+        sizes = sorted((r.randrange(1, r.choice([3, capacity])) for _ in range(r.randrange(1, 400))), reverse=True)
+        runs, made = packing.best_fit_counts(Counter(sizes), capacity)
+        assert made == len(packing.best_fit(sizes, capacity)[2])
+        bins: dict[int, list[tuple[int, int]]] = {}
+        for (size, rank, first, n, offset), after in zip(runs.tolist(), [*runs[1:].tolist(), [0] * 5], strict=True):
+            for j in range((after[1] if after[0] == size else sizes.count(size)) - rank):
+                bins.setdefault(first + j % n, []).append((offset + j // n * size, size))
+        assert len(bins) == made and sorted(x for b in bins.values() for _, x in b) == sorted(sizes)
+        for b in bins.values():
+            ends = np.cumsum([x for _, x in sorted(b)]).tolist()
+            assert [at for at, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= capacity
+
+
+def test_no_bin_of_any_node_loses_its_partners(spark):
+    texts = [" a" * (600 + i % 40) for i in range(200)] + [" a" * (385 + i % 20) for i in range(200)] + [" a" * (i % 7) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({"per_node": 8, "fan": 2, "carry": 1}, {"per_node": 8, "fan": 100, "carry": 2}, {"per_node": 30, "nearly": 0.9}):
+        got = packing.pack_documents(docs, BPE, **options).toPandas()
+        assert sorted(got["doc_id"]) == list(range(len(texts)))
+        for _, g in got.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 1024
+        whole = len(packing.best_fit(sorted(got["length"], reverse=True), 1024)[2])
+        assert got["sequence_id"].nunique() <= whole
+
+
 def test_token_counts(docs, rows, none):
     import sentencepiece
 
