@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from marlwick.operators import fts
 from marlwick.plans.catalogue import ORACLE_SQL, QUERIES
 
 TEXTS = ["A thing, a Thing: THING", "", "Worthless trash\nthing", "worthless thing", "Straße ﬁn ΣΑΣ ς trash", "licensed under; licensed, under thing", "... --", "under licensed"]
 
 
+def test_fold_matches_each_text_once(spark):
+    assert str(fts.folded(F.col("text"))).count("rlike(") == 2  # one for all texts, one for those it finds
+    with_ranges = fts.ranges("".join(map("".join, fts.folds())).replace("ß", ""), 64)
+    assert with_ranges.count("-") <= 12
+    chars = [c for c in map(chr, range(1, 0x1E000)) if c.lower() != c or c.casefold() != c]
+    mine = spark.createDataFrame([(f"a{c}b",) for c in chars], "text string").select("text", fts.folded(F.col("text")).alias("low"))
+    later = {r.text for r in mine.collect() if r.low != r.text.casefold()}  # than the JVM's Unicode, or in Python's lower() by context
+    assert not [t for t in later if ord(t[1]) < 0x1C89 and not 0x10D0 <= ord(t[1]) < 0x1100 and t[1] != "İ"], later
+
+
 def test_delete_from_a_full_text_table_is_that_of_its_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
