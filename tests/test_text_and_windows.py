@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ from marlwick.plans.catalogue import ORACLE_SQL, QUERIES
 TEXTS = ["A thing, a Thing: THING", "", "Worthless trash\nthing", "worthless thing", "Straße ﬁn ΣΑΣ ς trash", "licensed under; licensed, under thing", "... --", "under licensed"]
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fold_matches_each_text_once(spark):
     assert str(fts.folded(F.col("text"))).count("rlike(") == 2  # one for all texts, one for those it finds
     with_ranges = fts.ranges("".join(map("".join, fts.folds())).replace("ß", ""), 64)
@@ -21,6 +27,19 @@ def test_fold_matches_each_text_once(spark):
     assert not [t for t in later if ord(t[1]) < 0x1C89 and not 0x10D0 <= ord(t[1]) < 0x1100 and t[1] != "İ"], later
 
 
+def test_index_shuffles_nothing(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "k long, text string").repartition(2)
+    made = fts.index(df, "k", ["text"])
+    assert "Exchange hashpartitioning" not in plan(made) and "Exchange rangepartitioning" not in plan(made)
+    want = defaultdict(list)
+    for k, text in enumerate(TEXTS):
+        for i, w in enumerate(fts.words(text)):
+            want[(w, k, len(fts.words(text)))].append(i)
+        if not fts.words(text):
+            want[(None, k, 0)] = []
+    assert {(r.term, r.k, r.len): list(r.places) for r in made.collect()} == want
+
+
 def test_delete_from_a_full_text_table_is_that_of_its_sql(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
