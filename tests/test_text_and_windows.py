@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import duckdb
 from pyspark.sql import functions as F
 
+from marlwick.engine import Engine
 from marlwick.operators import fts
 from marlwick.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -47,3 +49,21 @@ def test_delete_from_a_full_text_table_is_that_of_its_sql(spark, tmp_path):
     for name in ("k7_fts_delete", "k5_bm25_index", "k5_bm25", "k3_phrase"):
         found = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
         assert found == sorted(con.sql(ORACLE_SQL[name]).fetchall()) and found, name
+
+
+def test_frames_to_the_last_row(spark, tmp_path):
+    db, con = Engine(spark, str(tmp_path / "db")), duckdb.connect()
+    rows = [(i, i % 3, None if i % 4 == 0 else (i * 7) % 11, (i * 5) % 13 / 2) for i in range(40)]
+    db.register("t", spark.createDataFrame(rows, "k long, g long, x long, r double"))
+    con.execute("CREATE TABLE t (k BIGINT, g BIGINT, x BIGINT, r DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    for call in ("COUNT(*)", "COUNT(x)", "SUM(x)", "MIN(r)", "MAX(x)", "AVG(r)"):
+        for low in ("CURRENT ROW", "1 FOLLOWING", "3 FOLLOWING", "2 PRECEDING", "0 PRECEDING", "50 PRECEDING", "50 FOLLOWING"):
+            for keys in ("k", "k DESC", "x NULLS LAST, k", "x DESC NULLS FIRST, r, k"):
+                sql = f"SELECT k, {call} OVER (PARTITION BY g ORDER BY {keys} ROWS BETWEEN {low} AND UNBOUNDED FOLLOWING) AS v FROM t"
+                if keys != "k" and low not in ("CURRENT ROW", "3 FOLLOWING"):
+                    continue
+                df = db.query(sql)
+                assert not re.search(r"-?\d+, unboundedfollowing|currentrow\$\(\), unboundedfollowing", plan(df)), sql
+                norm = lambda found: sorted((k, None if v is None else round(float(v), 9)) for k, v in found)
+                assert norm(map(tuple, df.collect())) == norm(con.sql(sql).fetchall()), sql
