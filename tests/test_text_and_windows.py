@@ -67,3 +67,18 @@ def test_frames_to_the_last_row(spark, tmp_path):
                 assert not re.search(r"-?\d+, unboundedfollowing|currentrow\$\(\), unboundedfollowing", plan(df)), sql
                 norm = lambda found: sorted((k, None if v is None else round(float(v), 9)) for k, v in found)
                 assert norm(map(tuple, df.collect())) == norm(con.sql(sql).fetchall()), sql
+
+
+def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, tmp_path):
+    db = Engine(spark, str(tmp_path / "db"))
+    rows = [(i, 7 if i < 300 else None, i % 5) for i in range(320)]
+    db.register("t", spark.createDataFrame(rows, "k long, g long, x long"))
+    df = db.query("SELECT a.k AS a, b.k AS b FROM t AS a JOIN t AS b ON a.g = b.g AND a.x < b.x")
+    assert "_deal" in plan(df) and "Broadcast" not in plan(df)
+    found = sorted(map(tuple, df.collect()))
+    assert found == sorted((i, j) for i in range(300) for j in range(300) if i % 5 < j % 5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which makes one task of so few rows
+    assert db.query("SELECT a.k AS a, b.k AS b FROM t AS a JOIN t AS b ON a.g = b.g AND a.x < b.x").select(F.spark_partition_id()).distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert db.query("SELECT * FROM t AS a JOIN t AS b ON a.g = b.g AND a.x < b.x").columns == ["k", "g", "x", "k_1", "g_1", "x_1"]
+    assert "_deal" not in plan(db.query("SELECT a.k FROM t AS a JOIN t AS b ON a.k = b.k"))
